@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality
+from . import bpe, pii, quality, secret_scan
 from .common import table
 
 
@@ -17,6 +17,16 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secret_scan.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and the threshold table's verdict of every text."""
     found = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -42,8 +52,37 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op3_secrets": op3_secrets,
     "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+places AS (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8),
+windows AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS k FROM places),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM windows) WHERE n > 1),
+gaps AS (SELECT rid, least(8, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 8)) AS g FROM again),
+repeated AS (SELECT rid, sum(g)::BIGINT AS r FROM gaps GROUP BY rid),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words,
+    len(l) AS n_lines, len(list_filter(w, lambda x: lower(x) IN (@STOP))) AS n_stop
+  FROM w LEFT JOIN repeated USING (rid)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(
+    word_chars / n_words BETWEEN 1.5 AND 15.0 AND n_symbols / n_words <= 0.30 AND (n_words < 50 OR n_stop / n_words >= 0.04)
+    AND n_dup_lines / n_lines <= 0.50 AND n_repeat_words / n_words <= 0.30, false) AS kept
+FROM b
+""".replace("@STOP", ", ".join(f"'{w}'" for w in quality.STOP_WORDS))
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_pii": pii.duckdb_sql(),
+    "op3_secrets": secret_scan.duckdb_sql(),
+    "op5_quality": OP5_SQL,
+}
