@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality, secret_scan
+from . import bpe, mixing, pii, quality, secret_scan, topk
 from .common import table
 
 
@@ -51,11 +51,24 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for each row whose vec_id is divisible by 20."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_secrets": op3_secrets,
     "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
+    "op8_topk": op8_topk,
+    "op9_mixing": op9_mixing,
 }
 
 OP5_SQL = r"""
@@ -85,4 +98,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_pii": pii.duckdb_sql(),
     "op3_secrets": secret_scan.duckdb_sql(),
     "op5_quality": OP5_SQL,
+    "op8_topk": topk.duckdb_sql(),
 }
