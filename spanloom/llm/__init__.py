@@ -8,5 +8,5 @@ import importlib
 
 from pyspark import cloudpickle
 
-for _name in ("vec", "common", "bpe", "mixing", "topk"):
+for _name in ("vec", "common", "bpe", "mixing", "topk", "langid"):
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))
