@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, pii, quality, secret_scan, topk
+from . import bpe, langid, mixing, pii, quality, secret_scan, substring_dedup, topk
 from .common import table
 
 
@@ -40,6 +40,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat a passage of a smaller document."""
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded text of every document."""
     coded = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), keep=["doc_id"])
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_secrets": op3_secrets,
     "op5_quality": op5_quality,
+    "op6_substrings": op6_substrings,
     "op7_bpe": op7_bpe,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
@@ -106,5 +113,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_pii": pii.duckdb_sql(),
     "op3_secrets": secret_scan.duckdb_sql(),
     "op5_quality": OP5_SQL,
+    "op6_substrings": substring_dedup.duckdb_sql(),
     "op8_topk": topk.duckdb_sql(),
 }
