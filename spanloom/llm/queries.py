@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, pii, quality, secret_scan, substring_dedup, topk
+from . import bpe, langid, mixing, near_dedup, pii, quality, secret_scan, substring_dedup, topk
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and the threshold table's verdict of every text."""
     found = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -78,6 +83,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_secrets": op3_secrets,
+    "op4_near_dups": op4_near_dups,
     "op5_quality": op5_quality,
     "op6_substrings": op6_substrings,
     "op7_bpe": op7_bpe,
