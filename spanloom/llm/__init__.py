@@ -8,5 +8,5 @@ import importlib
 
 from pyspark import cloudpickle
 
-for _name in ("vec", "common", "bpe", "mixing", "topk", "langid", "substring_dedup", "near_dedup"):
+for _name in ("vec", "common", "bpe", "mixing", "topk", "langid", "substring_dedup", "near_dedup", "html_extract"):
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, near_dedup, pii, quality, secret_scan, substring_dedup, topk
+from . import bpe, html_extract, langid, mixing, near_dedup, pii, quality, secret_scan, substring_dedup, topk
 from .common import table
 
 
@@ -22,6 +22,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_extract.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     return secret_scan.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -82,6 +88,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_html": op2_html,
     "op3_secrets": op3_secrets,
     "op4_near_dups": op4_near_dups,
     "op5_quality": op5_quality,
