@@ -12,8 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .core import empty, let, piece
-from .text import folded
+from .core import empty, let, piece, quote, regex_spans
+from .text import folded, occurrences, strip
 
 SUPPORT_BEFORE, SUPPORT_AFTER, CONFLICT_BEFORE, CONFLICT_GAP = 220, 26, 30, 18
 #: What may not stand beside a cue.
@@ -102,9 +102,6 @@ def evidence_supports(text: Column, surface: Column, s: Column, evidence: Column
     Fragments are parted by ellipses and semicolons. The bare surface proves nothing
     where the text has it more than once.
     """
-    from .text import occurrences, strip
-    from .core import quote, regex_spans
-
     end = s + F.length(surface)
     fragments = F.array_union(F.array(strip(evidence)), F.split(strip(evidence), r"\s*(?:\.\.\.|…|;)\s*", -1))
     several = F.size(occurrences(text, surface)) > 1
@@ -113,9 +110,9 @@ def evidence_supports(text: Column, surface: Column, s: Column, evidence: Column
     return F.exists(useful, covers)
 
 
-def discourse_bias(*fields: Column) -> Column:
-    """The assertion that a document's description leans to; family before historical, else null."""
-    whole = folded(F.concat_ws(" ", *fields))
-    family = whole.rlike("gia đình|người nhà|họ hàng|family")
-    past = whole.rlike("tiền sử|quá khứ|bệnh án cũ|history|historical")
+def discourse_bias(case_id: Column, *fields: Column) -> Column:
+    """The assertion that a document's kind leans to; family before historical, else null."""
+    whole = folded(F.concat_ws(" ", case_id, *fields))
+    family = case_id.startswith("assertion.family") | whole.rlike("gia đình|family_history")
+    past = case_id.startswith("assertion.historical") | whole.rlike("tiền sử|past_medical_history|bệnh sử|hồ sơ cũ")
     return F.when(family, "isFamily").when(past, "isHistorical")
