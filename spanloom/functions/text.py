@@ -42,14 +42,10 @@ def tokens(text: Column) -> Column:
     return let(found, placed)
 
 
-@F.pandas_udf("string")
-def _compose(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
-
-
 def nfc(text: Column) -> Column:
-    """Canonical composition; Spark has no such function, plain ASCII rows could skip it."""
-    return _compose(text)
+    """Canonical composition; Spark has no such function; plain ASCII rows stay as they are."""
+    compose = F.pandas_udf(lambda s: s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x)), "string")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), compose(text)).otherwise(text)
 
 
 def nfc_tokens(text: Column) -> Column:
@@ -313,7 +309,7 @@ def layout(text: Column) -> Column:
             required.alias("required"),
         )
 
-    return let(F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: x != ""), measured)
+    return let(F.filter(F.transform(F.split(text, "\n", -1), lambda x: strip(x)), lambda x: x != ""), measured)
 
 
 def has_table(text: Column) -> Column:

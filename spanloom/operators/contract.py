@@ -400,7 +400,7 @@ def validate_drafts(drafts: DataFrame, reqs: DataFrame, terms: DataFrame | None
     prose = long_ & ((F.col("lay.lines") < F.col("lay.required")) | (F.col("lay.short_ratio") < MIN_SHORT))
     drift = long_ & ~prose & ~((F.col("lay.lines") >= 24) & F.col("lay.short_ratio").between(0.42, MAX_SHORT))
     low = F.lower(text)
-    first = F.get(F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: x != ""), F.lit(0))
+    first = F.get(F.filter(F.transform(F.split(text, "\n", -1), lambda x: strip(x)), lambda x: x != ""), F.lit(0))
     shout = (F.length(first) >= 4) & (first == F.upper(first)) & first.rlike(r"\p{L}")
     head, path = b["heading_text"], F.coalesce("section_path", empty("array<string>"))
     no_header = F.col("header_mode") == "none"
