@@ -157,11 +157,15 @@ def bio_spans(labels: Column, mode: str = "strict") -> Column:
         flagged = F.transform(x, lambda y, i: F.struct(y["t"].alias("t"), live(y).alias("live"), opens(y, i).alias("opens"), i.alias("i")))
 
         def cut(f: Column) -> Column:
-            def one(o: Column) -> Column:
-                stop = F.get(F.filter(f, lambda z: (z["i"] > o["i"]) & (z["opens"] | ~z["live"])), F.lit(0))["i"]
-                return F.struct(o["i"].alias("first"), (F.coalesce(stop, F.size(f)) - 1).alias("last"), o["t"].alias("type"))
+            # a span ends before the next label that opens one or is outside: one pass over those places
+            places = F.concat(F.transform(F.filter(f, lambda z: z["opens"] | ~z["live"]), lambda z: z["i"]), F.array(F.size(f)))
 
-            return F.transform(F.filter(f, lambda z: z["opens"]), one)
+            def between(at: Column) -> Column:
+                made = lambda i, j: F.struct(i.alias("first"), (F.get(at, j + 1) - 1).alias("last"), F.get(f, i)["t"].alias("type"), F.coalesce(F.get(f, i)["opens"], F.lit(False)).alias("opens"))
+                kept = F.filter(F.transform(at, made), lambda s: s["opens"])
+                return F.transform(kept, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), s["type"].alias("type")))
+
+            return let(places, between)
 
         return let(flagged, cut)
 

@@ -406,32 +406,36 @@ def validate_drafts(drafts: DataFrame, reqs: DataFrame, terms: DataFrame | None
     no_header = F.col("header_mode") == "none"
     seeds = F.transform(m, lambda x: x["seed_id"])
     planned = F.transform("plan", lambda x: x["seed_id"])
-    row_of = lambda x: F.get(F.filter("plan", lambda y: y["seed_id"] == x["seed_id"]), F.lit(0))
-    at = lambda x: F.get(F.filter("gate.positions", lambda p: p["seed_id"] == x["seed_id"]), F.lit(0))
-
-    def mention_errors(x: Column) -> Column:
-        p, s = row_of(x), at(x)
-        e = s["s"] + F.length(x["text"])
-        marks = F.coalesce(x["assertions"], empty("array<string>"))
-        fixed = F.coalesce(repaired(text, s["s"], e, p["type"], F.coalesce(p["assertions"], empty("array<string>"))), marks)
-        checks = [
-            (~x["text"].eqNullSafe(p["text"]) | ~x["should_label"].eqNullSafe(p["should_label"]) | ~x["type"].eqNullSafe(p["type"]), "differs_from_plan"),
-            (F.coalesce(x["text"], F.lit("")) == "", "no_surface"),
-            (s.isNull(), "no_position"),
-            (x["position"].isNotNull() & ~x["position"].eqNullSafe(F.array(s["s"], s["e"])), "stored_position"),
-            (x["should_label"].isNull(), "should_label"),
-            (x["should_label"] & ~F.coalesce(x["type"].isin(list(vocab.TYPES)), F.lit(False)), "bad_type"),
-            (x["should_label"] & (F.size(F.array_except(marks, F.array(*[F.lit(a) for a in vocab.ASSERTIONS]))) > 0), "bad_assertion"),
-            (x["should_label"] & (F.size(marks) > 0) & ~x["type"].isin(list(vocab.ASSERTION_TYPES)), "assertion_on_type"),
-            (x["should_label"] & F.lower(strip(x["text"])).isin(vocab.listed(vocab.META_NOUNS)), "meta_noun"),
-            (x["should_label"] & (x["type"] == vocab.DRUG) & F.array_contains(marks, "isHistorical"), "historical_drug"),
-            (~x["should_label"] & (x["type"].isNotNull() | (F.size(marks) > 0)), "unlabelled_with_label"),
-            (F.coalesce(strip(x["context_evidence"]), F.lit("")) == "", "no_evidence"),
-            (F.coalesce(strip(x["rationale"]), F.lit("")) == "", "no_rationale"),
-            (x["should_label"] & s.isNotNull() & (F.size(cue_errors(text, s["s"], e, x["type"], fixed)) > 0) & x["type"].isin(list(vocab.ASSERTION_TYPES)), "cue_disagrees"),
-        ]
-        return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.concat(F.lit(f"{t}:"), F.coalesce(x["seed_id"], F.lit("?")))) for c, t in checks]))
-
+    # Mentions become rows, so that each of their values is a plain column.
+    own = rows.select("draft_id", "text", F.posexplode("mentions").alias("k", "x"), "plan", F.col("gate.positions").alias("pos"))
+    x = F.col("x")
+    own = own.withColumn("p", F.get(F.filter("plan", lambda y: y["seed_id"] == F.col("x.seed_id")), F.lit(0))).withColumn("s", F.get(F.filter("pos", lambda y: y["seed_id"] == F.col("x.seed_id")), F.lit(0))["s"]).drop("plan", "pos")
+    own = own.withColumn("e", F.col("s") + F.length("x.text")).withColumn("marks", F.coalesce("x.assertions", empty("array<string>"))).withColumn("asked", F.coalesce("p.assertions", empty("array<string>")))
+    own = own.withColumn("fixed", F.coalesce(repaired(F.col("text"), F.col("s"), F.col("e"), F.col("p.type"), F.col("asked")), F.col("marks")))
+    own = own.withColumn("disagrees", F.size(cue_errors(F.col("text"), F.col("s"), F.col("e"), F.col("x.type"), F.col("fixed"))) > 0)
+    own = own.withColumn("loose", F.col("s").isNotNull() & ~evidence_supports(F.col("text"), F.col("x.text"), F.col("s"), F.coalesce("x.context_evidence", F.lit(""))))
+    p, s, marks = F.col("p"), F.col("s"), F.col("marks")
+    checks = [
+        (~x["text"].eqNullSafe(p["text"]) | ~x["should_label"].eqNullSafe(p["should_label"]) | ~x["type"].eqNullSafe(p["type"]), "differs_from_plan"),
+        (F.coalesce(x["text"], F.lit("")) == "", "no_surface"),
+        (s.isNull(), "no_position"),
+        (x["position"].isNotNull() & ~x["position"].eqNullSafe(F.array(s, F.col("e"))), "stored_position"),
+        (x["should_label"].isNull(), "should_label"),
+        (x["should_label"] & ~F.coalesce(x["type"].isin(list(vocab.TYPES)), F.lit(False)), "bad_type"),
+        (x["should_label"] & (F.size(F.array_except(marks, F.array(*[F.lit(a) for a in vocab.ASSERTIONS]))) > 0), "bad_assertion"),
+        (x["should_label"] & (F.size(marks) > 0) & ~x["type"].isin(list(vocab.ASSERTION_TYPES)), "assertion_on_type"),
+        (x["should_label"] & F.lower(strip(x["text"])).isin(vocab.listed(vocab.META_NOUNS)), "meta_noun"),
+        (x["should_label"] & (x["type"] == vocab.DRUG) & F.array_contains(marks, "isHistorical"), "historical_drug"),
+        (~x["should_label"] & (x["type"].isNotNull() | (F.size(marks) > 0)), "unlabelled_with_label"),
+        (F.coalesce(strip(x["context_evidence"]), F.lit("")) == "", "no_evidence"),
+        (F.coalesce(strip(x["rationale"]), F.lit("")) == "", "no_rationale"),
+        (x["should_label"] & s.isNotNull() & F.col("disagrees") & x["type"].isin(list(vocab.ASSERTION_TYPES)), "cue_disagrees"),
+    ]
+    made = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.concat(F.lit(f"{t}:"), F.coalesce(x["seed_id"], F.lit("?")))) for c, t in checks]))
+    changed = x["should_label"] & (F.size(F.array_union(F.array_except("asked", "fixed"), F.array_except("fixed", "asked"))) > 0)
+    judged = own.select("draft_id", "k", made.alias("made"), F.coalesce(changed, F.lit(False)).alias("changed"), F.coalesce("loose", F.lit(False)).alias("loose"))
+    judged = judged.groupBy("draft_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "made"))), lambda y: y["made"])).alias("mention_errors"), F.bool_or("changed").alias("changed"), F.bool_or("loose").alias("loose"))
+    rows = rows.join(judged, "draft_id", "left")
     spans = F.array_sort(F.transform(F.filter("gate.positions", lambda p: F.exists("plan", lambda y: (y["seed_id"] == p["seed_id"]) & y["should_label"])), lambda p: F.struct(p["s"].alias("start"), p["e"].alias("end"))))
     overlap = F.exists(F.transform(spans, lambda s, i: F.coalesce(F.get(spans, i + 1)["start"] < s["end"], F.lit(False))), lambda x: x)
     seen = F.coalesce(m, F.array().cast(F_MENTIONS))
@@ -458,15 +462,13 @@ def validate_drafts(drafts: DataFrame, reqs: DataFrame, terms: DataFrame | None
         (F.size("extra.measurements") > 0, F.lit("unplanned_measurement")),
     ]
     flat = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), t) for c, t in errors]))
-    every = F.concat(flat, F.col("parsed.errors"), F.col("gate.errors"), F.flatten(F.transform(seen, mention_errors)), surface_counts(text, F.col("plan")))
-    changed = lambda x: F.size(F.array_except(F.coalesce(row_of(x)["assertions"], empty("array<string>")), repaired(text, at(x)["s"], at(x)["s"] + F.length(x["text"]), row_of(x)["type"], F.coalesce(row_of(x)["assertions"], empty("array<string>"))))) > 0
-    loose = lambda x: at(x).isNotNull() & ~evidence_supports(text, x["text"], at(x)["s"], F.coalesce(x["context_evidence"], F.lit("")))
+    every = F.concat(flat, F.col("parsed.errors"), F.col("gate.errors"), F.coalesce("mention_errors", empty("array<string>")), surface_counts(text, F.col("plan")))
     labelled = F.size(F.filter(seen, lambda x: F.coalesce(x["should_label"], F.lit(False))))
     flags = [
         (~n.between(b["length_chars"][0], b["length_chars"][1]), F.lit("length_budget")),
         (drift, F.lit("layout_drift")),
-        (F.exists(seen, lambda x: F.coalesce(x["should_label"] & changed(x), F.lit(False))), F.lit("assertion_repaired")),
-        (F.exists(seen, lambda x: F.coalesce(loose(x), F.lit(False))), F.lit("evidence_not_anchored")),
+        (F.col("changed"), F.lit("assertion_repaired")),
+        (F.col("loose"), F.lit("evidence_not_anchored")),
         (F.size("extra.terms") > 0, F.lit("unplanned_term")),
         (~labelled.between(b["labeled"][0], b["labeled"][1]), F.lit("labelled_budget")),
         (~(F.size(seen) - labelled).between(b["intentional_o"][0], b["intentional_o"][1]), F.lit("unlabelled_budget")),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.core import empty
+from ..functions.core import empty, let
 from ..functions.spans import bio_spans
 from ..functions.text import WS, strip
 
@@ -96,7 +96,9 @@ def confusion(gold: DataFrame, pred: DataFrame, most: int = 6) -> DataFrame:
     Each counts against the first gold span of another type that it overlaps.
     """
     m = matched(gold, pred)
-    rows = m.select("gold", F.filter(F.transform("pred", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~F.exists("pairs", lambda k: k["p"] == y["i"])).alias("free"))
+    numbered = F.transform("pred", lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    free = let(F.col("pairs"), lambda pairs: F.filter(numbered, lambda y: ~F.exists(pairs, lambda k: k["p"] == y["i"])))
+    rows = m.select("gold", free.alias("free"))
     rows = rows.select("gold", F.explode("free.x").alias("p"))
     first = F.get(F.filter("gold", lambda g: (g["type"] != F.col("p.type")) & (g["start"] < F.col("p.end")) & (F.col("p.start") < g["end"])), F.lit(0))
     counts = rows.select(first["type"].alias("gold_type"), F.col("p.type").alias("pred_type")).filter("gold_type IS NOT NULL")
