@@ -437,7 +437,7 @@ def validate_drafts(drafts: DataFrame, reqs: DataFrame, terms: DataFrame | None
     judged = judged.groupBy("draft_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "made"))), lambda y: y["made"])).alias("mention_errors"), F.bool_or("changed").alias("changed"), F.bool_or("loose").alias("loose"))
     rows = rows.join(judged, "draft_id", "left")
     spans = F.array_sort(F.transform(F.filter("gate.positions", lambda p: F.exists("plan", lambda y: (y["seed_id"] == p["seed_id"]) & y["should_label"])), lambda p: F.struct(p["s"].alias("start"), p["e"].alias("end"))))
-    overlap = F.exists(F.transform(spans, lambda s, i: F.coalesce(F.get(spans, i + 1)["start"] < s["end"], F.lit(False))), lambda x: x)
+    overlap = let(spans, neighbours_overlap)
     seen = F.coalesce(m, F.array().cast(F_MENTIONS))
     errors = [
         (F.col("want_case").isNull(), F.lit("no_request")),
@@ -482,6 +482,11 @@ def validate_drafts(drafts: DataFrame, reqs: DataFrame, terms: DataFrame | None
 F_MENTIONS = f"array<{vocab.MENTION}>"
 
 
+def neighbours_overlap(spans: Column) -> Column:
+    """Whether any span in order of place shares a character with the next."""
+    return F.exists(F.transform(spans, lambda s, i: F.coalesce(F.get(spans, i + 1)["start"] < s["end"], F.lit(False))), lambda x: x)
+
+
 def draft_distribution(drafts: DataFrame) -> DataFrame:
     """Long table (what, key, n, value) of drafts: size, labels, density, types, formats, flags, status."""
     named = drafts.withColumn("lab", F.filter("mentions", lambda x: F.coalesce(x["should_label"], F.lit(False))))
@@ -512,8 +517,8 @@ def validate_labels(rows: DataFrame) -> DataFrame:
         return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(t)) for c, t in checks]))
 
     order = F.array_sort(F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))))
-    clash = F.exists(F.transform(order, lambda s, i: F.coalesce(F.get(order, i + 1)["start"] < s["end"], F.lit(False))), lambda x: x)
-    errors = F.concat(F.flatten(F.transform("entities", of)), F.when(clash, F.array(F.lit("overlap"))).otherwise(empty("array<string>")))
+    clash = let(order, neighbours_overlap)
+    errors = F.concat(F.flatten(let(F.col("entities"), lambda es: F.transform(es, of))), F.when(clash, F.array(F.lit("overlap"))).otherwise(empty("array<string>")))
     return rows.select("id", errors.alias("errors"))
 
 
