@@ -39,7 +39,7 @@ from .common import limit_batches, materialise, quoted, size_of
 #: Least share of a host's pages, and least pages, that a template token stands on; longest text token.
 SUPPORT, LEAST_PAGES, TEXT_TOKEN = 0.5, 3, 60
 #: Tokens of a valid class; bytes up to which templates are broadcast.
-LEAST_TOKENS, BROADCAST = 2, 64 << 20
+LEAST_TOKENS, BROADCAST = 2, 8 << 20
 
 # HTML elements by how they behave.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())

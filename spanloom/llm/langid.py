@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from .common import map_columns, quoted
 from .vec import row_chunks, utf8_column
 
-#: Hash buckets of the n-grams, and the bound on the sample: rows for each language, and languages.
-BUCKETS, PER_LANGUAGE, MOST_LANGUAGES = 1 << 14, 400, 200
+#: Hash buckets of the n-grams, and the bounds on the sample: rows for each language, languages, all rows.
+BUCKETS, PER_LANGUAGE, MOST_LANGUAGES, MOST_ROWS = 1 << 14, 400, 200, 10_000
 #: Passes over the sample, and the strength of the regulariser.
 PASSES, STRENGTH = 6, 1e-4
 UNKNOWN = "und"
@@ -163,13 +163,15 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     Learns from rows with a text and a language that are not held out, at most
     ``per_language`` of each language, drawn by the hash of their id, and the
-    MOST_LANGUAGES most frequent languages. Without such rows the model is empty.
+    MOST_LANGUAGES most frequent languages; with many languages fewer rows of each,
+    MOST_ROWS in all. Without such rows the model is empty.
     """
     c = lambda name: F.col(quoted(name))
     usable = docs.filter(c(lang).isNotNull() & c(text).isNotNull() & ~held_out(c(doc_id)))
     counts = usable.groupBy(c(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return {"languages": [], "machines": {}}
+    per_language = max(20, min(per_language, MOST_ROWS // len(counts)))
     # twice the rows wanted, by hash; the exact bound is taken from these few
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * per_language / r["n"]))])
     drawn = F.pmod(F.xxhash64(c(doc_id), F.lit("sample")), F.lit(1 << 30))

@@ -31,7 +31,7 @@ from .vec import WORD_BASE, mix64, row_chunks, span_hashes, utf8_column, window_
 #: Words of a shingle, least similarity, registers of a sketch and registers of a band.
 SHINGLE, SIMILARITY, REGISTERS, BAND = 5, 0.8, 80, 4
 #: Texts on one side of a cell; bytes up to which a side is broadcast; rounds of the component search.
-TILE, BROADCAST, ROUNDS = 100, 64 << 20, 60
+TILE, BROADCAST, ROUNDS = 100, 16 << 20, 60
 
 
 def weighted_shingles(words: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

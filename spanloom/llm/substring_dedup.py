@@ -38,7 +38,7 @@ from .vec import WORD_BASE, row_chunks, span_hashes, utf8_column, window_hashes,
 #: Words of a window and of a block; log2 of the bits of the filter and its segments.
 WINDOW, BLOCK, FILTER_BITS, SEGMENT_BITS = 50, 25, 28, 20
 #: Filter bits wanted for each block, most rounds, and bytes up to which a side is broadcast.
-BITS_EACH, MOST_ROUNDS, BROADCAST = 8, 16, 64 << 20
+BITS_EACH, MOST_ROUNDS, BROADCAST = 8, 16, 16 << 20
 _SECOND_SEED = 99
 
 

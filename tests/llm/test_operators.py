@@ -243,6 +243,21 @@ def test_substring_rounds(spark, monkeypatch):
     assert collections.Counter(tuple(r) for r in got.collect()) == brute_kept(rows, 50)
 
 
+def test_beyond_the_broadcast_bound(spark, monkeypatch, sf):
+    """With every side too large to broadcast, shuffled joins give the same rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(80)
+    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(40)
+    calls = (
+        (substring_dedup, lambda: substring_dedup.dedup(docs, bits=16, keep=["doc_id"])),
+        (near_dedup, lambda: near_dedup.classes(docs, tile=3)),
+        (html_extract, lambda: html_extract.main_text(pages, keep=["page_id"])),
+    )
+    for module, call in calls:
+        want = by_id(call())
+        monkeypatch.setattr(module, "BROADCAST", -1)
+        assert by_id(call()) == want
+
+
 # --- search and mix
 
 
