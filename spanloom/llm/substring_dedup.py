@@ -258,9 +258,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, bits: int
     hits = materialise(probed, "hits")
     # hashes that several documents hold; a hash of one document alone proves nothing
     shared = hits.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("context").alias("c1"), F.max("context").alias("c2"))
-    shared = shared.filter("lo < hi").select("h", (F.col("c1") != F.col("c2")).alias("mixed"))
+    # written before the join: a hot hash may then be split over tasks, as nothing below the join needs it whole
+    shared = materialise(shared.filter("lo < hi").select("h", (F.col("c1") != F.col("c2")).alias("mixed")), "shared_hashes")
     hits = materialise(hits.join(shared, "h"), "shared")
-    least = hits.groupBy("h", "context").agg(F.min("doc_id").alias("least"))
+    least = materialise(hits.groupBy("h", "context").agg(F.min("doc_id").alias("least")), "least")
     hits = hits.join(least, ["h", "context"])
     again = hits.filter("least < doc_id AND lead + tail >= {}".format(window - block))
     done = again.select("doc_id", "tkey", (F.col("at") - F.col("lead")).alias("first"), (F.col("lead") + F.col("tail") + F.lit(block)).alias("size"))
@@ -268,7 +269,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, bits: int
     open_ = hits.filter("least = doc_id AND mixed").select("doc_id", "tkey", "at")
     places = materialise(packed(open_, "at"), "places")
     windows = materialise(windows_at(docs, places, window, block), "windows")
-    twice = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    twice = materialise(windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi"), "twice")
     more = windows.join(twice, ["k1", "k2"]).filter("doc_id > lo").select("doc_id", "tkey", F.col("at").alias("first"), F.lit(window).alias("size"))
     return materialise(packed(done.unionByName(more), "first", "size"), "ranges")
 
