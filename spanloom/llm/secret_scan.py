@@ -74,7 +74,7 @@ def parts_of(text: Column, part: Part) -> Column:
 
 
 def outside(weak: Column, strong: Column) -> Column:
-    """Weak spans that touch no strong one; both sorted by start, looked up by bin of starts."""
+    """Weak spans that touch no strong one; each is held against all strong spans of its text."""
     return F.when(F.size(strong) == 0, weak).otherwise(
         F.filter(weak, lambda w: ~F.exists(strong, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     )
