@@ -158,25 +158,41 @@ def fit_machine(samples: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray,
     return mean[:BUCKETS], 0.2 * float(mean[BUCKETS])
 
 
+def sample_rows(docs: DataFrame, doc_id: str, text: str, lang: str, per_language: int) -> tuple[DataFrame, int] | None:
+    """(id, lang, draw, text) of about twice the rows wanted, and how many of each language to take by ``draw``.
+
+    A null id draws by its text. Rows of one draw are one row, so that a repeated id
+    cannot swell the sample; the rate rests on distinct draws for the same reason.
+    """
+    c = lambda name: F.col(quoted(name))
+    usable = docs.filter(c(lang).isNotNull() & c(text).isNotNull() & ~held_out(c(doc_id)))
+    seed = F.when(c(doc_id).isNotNull(), F.xxhash64(c(doc_id), F.lit("sample"))).otherwise(F.xxhash64(c(text), F.lit("sample")))
+    drawn = usable.select(F.pmod(seed, F.lit(1 << 30)).alias("draw"), c(lang).alias("lang"), c(doc_id).alias("id"), c(text).alias("text"))
+    counts = drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("draw").alias("draws"))
+    counts = counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not counts:
+        return None
+    per_language = max(20, min(per_language, MOST_ROWS // len(counts)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * per_language / r["draws"]))])
+    wanted = drawn.filter(F.col("draw") < share[F.col("lang")] * (1 << 30))
+    rows = wanted.groupBy("lang", "draw").agg(F.min(F.struct("id", "text")).alias("x"))
+    return rows.select("x.id", "lang", "draw", "x.text"), per_language
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> dict:
     """The model: languages by family and a machine for each pair.
 
     Learns from rows with a text and a language that are not held out, at most
     ``per_language`` of each language, drawn by the hash of their id, and the
     MOST_LANGUAGES most frequent languages; with many languages fewer rows of each,
-    MOST_ROWS in all. Without such rows the model is empty.
+    MOST_ROWS in all. Rows of one language that share an id, and copies among rows
+    without an id, enter once. Without such rows the model is empty.
     """
-    c = lambda name: F.col(quoted(name))
-    usable = docs.filter(c(lang).isNotNull() & c(text).isNotNull() & ~held_out(c(doc_id)))
-    counts = usable.groupBy(c(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    sample = sample_rows(docs, doc_id, text, lang, per_language)
+    if sample is None:
         return {"languages": [], "machines": {}}
-    per_language = max(20, min(per_language, MOST_ROWS // len(counts)))
-    # twice the rows wanted, by hash; the exact bound is taken from these few
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * per_language / r["n"]))])
-    drawn = F.pmod(F.xxhash64(c(doc_id), F.lit("sample")), F.lit(1 << 30))
-    sample = usable.withColumn("draw", drawn).filter(F.col("draw") < share[c(lang)] * (1 << 30))
-    packed = map_columns(sample.select(c(doc_id).alias("id"), c(lang).alias("lang"), "draw", c(text).alias("text")), lambda x: [sparse_counts(x)], ["text"], [T.StructField("packed", T.BinaryType())], ["id", "lang", "draw"])
+    sample, per_language = sample
+    packed = map_columns(sample, lambda x: [sparse_counts(x)], ["text"], [T.StructField("packed", T.BinaryType())], ["id", "lang", "draw"])
     rows = sorted(packed.collect(), key=lambda r: (r["lang"], r["draw"], str(r["id"]), r["packed"]))
     chosen = [r for _, group in itertools.groupby(rows, key=lambda r: r["lang"]) for r in itertools.islice(group, per_language)]
     languages = sorted({r["lang"] for r in chosen})

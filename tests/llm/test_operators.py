@@ -339,6 +339,14 @@ def test_language_learns_from_no_held_out_row(spark, sf):
     assert "zz" not in langid.fit(lied)["languages"]
 
 
+def test_language_sample_is_bounded_under_a_repeated_id(spark):
+    rows = [(0, f"words of copy {i}", "en") for i in range(2000)] + [(None, "no id", "en")] * 500 + [(i, f"own words {i}", "en") for i in range(1, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample, each = langid.sample_rows(docs, "doc_id", "text", "lang", 100)
+    drawn = [r.id for r in sample.collect()]
+    assert each == 100 and 100 <= len(drawn) <= 300 and len(set(drawn)) == len(drawn)
+
+
 def test_language_edges(spark, docs, none):
     model = langid.fit(docs)
     got = {r.doc_id: r for r in langid.predict(docs, model, keep=["doc_id"]).collect()}
