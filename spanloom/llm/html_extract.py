@@ -1,22 +1,26 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a sequence of tokens: its tags (with the class, id and role they carry)
-and its short text nodes. Over all pages of a host, tokens with one occurrence
-vector, the same count on every page, form an equivalence class. A class that is
-large and frequent enough is valid and belongs to the host's template; its tokens
-nest by the elements that are open around them. What lies between template tokens
-are slots, and the text in slots is the page's own.
+A page is a sequence of tokens: its block elements and its text nodes, each nested in
+the elements that are open around it. The place of a token is the chain of the block
+elements' names and the class names of the nearest one. Over all pages of a host, tokens
+with one occurrence vector, the same count on every page, form an equivalence class. A
+class of ``LEAST_TOKENS`` tokens on ``LEAST_PAGES`` different pages is valid; its text
+tokens belong to the host's template if they stand on a share of the pages that have
+their place: ``LAYOUT`` for any template text, ``SUPPORT`` for firm ones. What lies
+between template tokens are slots, and the text in slots is the page's own.
 
 Occurrence vectors are never gathered: each (host, token) keeps the sums of two
-halves of a hash of (page, count), which agree for equal vectors. Templates hold
-only classes found on at least ``SUPPORT`` of a host's pages, so that a template has
-at most 1 / SUPPORT times the tokens of an average page.
+halves of a hash of (page content, count), which agree for equal vectors. Tokens are hashes,
+so a text node is one whatever its length. Copies of a page count as one page. As a text
+stands on at least ``LAYOUT`` of the pages with its place, a template has at most 1 / LAYOUT
+times the tokens of an average page of each place.
 
 Slots get their role from the elements around them. Slots inside an article (else a
 main element, else what is named like one) are main text; slots of navigation,
-notices, adverts, forms, comments and the like are not. On pages without any such
-element the slots that remain are the main text, and short texts that belong to
-the host's template are left out.
+notices, adverts, forms, comments and the like are not. Firm template text is left out
+of all of them, on pages without such an element any template text. Pages that are copies
+of each other share their text too: where the template would take more than half
+of what an article, or a page by its not firm texts, holds, that is kept.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Sequence, Set
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -36,8 +40,10 @@ from pyspark.sql import types as T
 
 from .common import limit_batches, materialise, quoted, size_of
 
-#: Least share of a host's pages, and least pages, that a template token stands on; longest text token.
-SUPPORT, LEAST_PAGES, TEXT_TOKEN = 0.5, 3, 60
+#: Least share of the pages with its place that a firm, and that any, template text stands on; least pages.
+SUPPORT, LAYOUT, LEAST_PAGES = 0.5, 0.5, 3
+#: Longest text token.
+TEXT_TOKEN = 60
 #: Tokens of a valid class; bytes up to which templates are broadcast.
 LEAST_TOKENS, BROADCAST = 2, 8 << 20
 
@@ -96,20 +102,73 @@ def collapsed(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def page_tokens(page: str) -> dict[str, int]:
-    """Count of every template token candidate of a page."""
-    out: dict[str, int] = {}
+def hashed(place: int, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=place.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+
+
+#: The place outside all elements.
+ROOT = 1
+
+
+class Nest:
+    """The block elements that are open, and the place that they make."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int]] = [("", 0, ROOT)]  # name, chain, place
+        self.known: dict[tuple[int, str], int] = {}
+
+    def short(self, place: int, text: str) -> int:
+        if (place, text) not in self.known:
+            self.known[place, text] = hashed(place, text)
+        return self.known[place, text]
+
+    @property
+    def place(self) -> int:
+        return self.stack[-1][2]
+
+    def open(self, name: str, attrs: dict[str, str]) -> None:
+        """Elements in an element of the same name, as of unclosed paragraphs, count as one."""
+        last, chain, _ = self.stack[-1]
+        chain = chain if last == name else self.short(chain, name)
+        # names with digits differ from page to page
+        words = sorted(w for w in attrs.get("class", "").split() if not any(c.isdigit() for c in w))
+        self.stack.append((name, chain, self.short(chain, " ".join(words))))
+
+    def close(self, name: str) -> None:
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i][0] == name:
+                del self.stack[i:]
+                break
+
+
+def opens(name: str, rest: str) -> bool:
+    """Whether a start tag opens an element."""
+    return not (name in VOID or rest.rstrip().endswith("/") and name not in INLINE and name not in ("p", "div", "article", "section"))
+
+
+def page_tokens(page: str) -> dict[int, tuple[int, int]]:
+    """Count and place of every text of a page, and of every place itself, whose place is 0."""
+    out: dict[int, tuple[int, int]] = {}
+    nest = Nest()
     for kind, name, rest in events(page):
         if kind == "text":
-            text = collapsed(rest) if len(rest) <= 2 * TEXT_TOKEN else ""
-            token = f"={text}" if 0 < len(text) <= TEXT_TOKEN else ""
-        elif kind == "open":
-            attrs = attributes(rest)
-            token = " ".join([f"<{name}", *(f"{k}={attrs[k]}" for k in ("class", "id", "role") if k in attrs)])
+            text = collapsed(rest)
+            if not 0 < len(text) <= TEXT_TOKEN:
+                continue
+            token, place = hashed(nest.place, "=" + text), nest.place
+            if place == ROOT:
+                out[ROOT] = (1, 0)
+        elif name in INLINE:
+            continue
+        elif kind == "close":
+            nest.close(name)
+            continue
+        elif opens(name, rest):
+            nest.open(name, attributes(rest))
+            token, place = nest.place, 0
         else:
-            token = f"</{name}"
-        if token:
-            out[token] = out.get(token, 0) + 1
+            continue
+        out[token] = (out.get(token, (0, 0))[0] + 1, place)
     return out
 
 
@@ -120,42 +179,55 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+SUMS = "host string, token long, place long, pages long, v1 long, v2 long, lo long, hi long"
+
+
 def token_sums(pages: DataFrame) -> DataFrame:
-    """(host, token, pages, total, v1, v2) over all pages; pages: page_key, url, html.
+    """(host, token, place, pages, v1, v2, lo, hi) over all pages; pages: url, html.
 
-    The token ``""`` stands for the page itself.
+    v1 and v2 sum the halves of each page's hash, lo and hi are the least and the largest first half.
     """
 
     def run(batches):
         for batch in batches:
-            sums: dict[tuple[str, str], list[int]] = {}
-            for key, url, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            sums: dict[tuple[str, int, int], list[int]] = {}
+            for url, page in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 host = host_of(url)
-                for token, n in {**page_tokens(page or ""), "": 1}.items():
-                    h = int.from_bytes(hashlib.blake2b(f"{key}:{n}".encode(), digest_size=8).digest(), "little")
-                    s = sums.setdefault((host, token), [0, 0, 0, 0])
+                own = hashed(0, page or "")
+                halves: dict[int, tuple[int, int]] = {}
+                for token, (n, place) in page_tokens(page or "").items():
+                    if n not in halves:
+                        h = hashed(own, str(n))
+                        halves[n] = (h & 0xFFFFFFFF, (h >> 32) & 0xFFFFFFFF)
+                    v1, v2 = halves[n]
+                    s = sums.setdefault((host, token, place), [0, 0, 0, v1, v1])
                     s[0] += 1
-                    s[1] += n
-                    s[2] += h & 0xFFFFFFFF
-                    s[3] += h >> 32
+                    s[1] += v1
+                    s[2] += v2
+                    s[3] = min(s[3], v1)
+                    s[4] = max(s[4], v1)
             keys = list(sums)
-            values = np.array(list(sums.values()), np.int64).reshape(-1, 4)
+            values = np.array(list(sums.values()), np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *[pa.array(values[:, i]) for i in range(4)]],
-                names=["host", "token", "pages", "total", "v1", "v2"],
+                [pa.array([k[0] for k in keys], pa.string()), *[pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2)], *[pa.array(values[:, i]) for i in range(5)]],
+                names=["host", "token", "place", "pages", "v1", "v2", "lo", "hi"],
             )
 
-    sent = pages.mapInArrow(run, "host string, token string, pages long, total long, v1 long, v2 long")
-    return sent.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "v1", "v2")])
+    sent = pages.mapInArrow(run, SUMS)
+    return sent.groupBy("host", "token", "place").agg(*[F.sum(c).alias(c) for c in ("pages", "v1", "v2")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def templates(sums: DataFrame) -> DataFrame:
-    """(host, tokens): the tokens of the valid classes of each host's template."""
-    sizes = sums.filter("token = ''").select("host", F.col("pages").alias("host_pages"))
-    frequent = sums.filter("token <> ''").filter(F.col("pages") >= LEAST_PAGES).join(sizes, "host").filter(F.col("pages") >= SUPPORT * F.col("host_pages"))
-    classes = frequent.groupBy("host", "pages", "total", "v1", "v2").agg(F.collect_list("token").alias("tokens"))
-    valid = classes.filter(F.size("tokens") >= LEAST_TOKENS)
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    """(host, tokens, firm): the texts of the valid classes of each host's template."""
+    # two different pages make no sum but those of n lo and n hi: three do
+    differ = (F.col("hi") > F.col("lo")) & ((F.col("v1") - F.col("pages") * F.col("lo")) % F.greatest(F.col("hi") - F.col("lo"), F.lit(1)) != 0)
+    frequent = materialise(sums.filter(F.col("pages") >= LEAST_PAGES).filter(differ).drop("lo", "hi"), "frequent")
+    classes = frequent.groupBy("host", "pages", "v1", "v2").agg(F.count(F.lit(1)).alias("size"))
+    valid = classes.filter(F.col("size") >= LEAST_TOKENS).drop("size")
+    places = frequent.filter("place = 0").select("host", F.col("token").alias("place"), F.col("pages").alias("place_pages"))
+    texts = frequent.filter("place <> 0").join(valid, ["host", "pages", "v1", "v2"]).join(places, ["host", "place"])
+    texts = texts.filter(F.col("pages") >= LAYOUT * F.col("place_pages")).withColumn("firm", F.col("pages") >= SUPPORT * F.col("place_pages"))
+    return texts.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list(F.when(F.col("firm"), F.col("token"))).alias("firm"))
 
 
 def role_of(name: str, attrs: dict[str, str], inside: bool) -> str:
@@ -182,42 +254,55 @@ def role_of(name: str, attrs: dict[str, str], inside: bool) -> str:
 RANKS = {"article": 3, "main": 2, "named": 1, "": 0}
 
 
-def extract(page: str, template: set[str]) -> str:
-    """The main text of one page."""
+def extract(page: str, template: Set[int], firm: Set[int] = frozenset()) -> str:
+    """The main text of one page; firm: the tokens of the template that count in any slot."""
     stack: list[tuple[str, int, bool]] = []  # name, rank, dropped
-    pieces: list[list[str]] = [[], [], [], []]
+    pieces: list[tuple[str, int, int]] = []  # text, rank, and 1 for template text, 2 for firm template text
     seen = [False] * 4
     rank, dropped = 0, False
+    nest = Nest()
     for kind, name, rest in events(page):
         if kind == "text":
             if dropped:
                 continue
-            if rank == 0 and len(rest) <= 2 * TEXT_TOKEN and f"={collapsed(rest)}" in template:
-                continue
-            text = html.unescape(rest) if "&" in rest else rest
-            for r in range(rank + 1):
-                pieces[r].append(text)
+            mark = 0
+            if template and (own := collapsed(rest)):
+                token = hashed(nest.place, "=" + own)
+                mark = (token in template) + (token in firm)
+            pieces.append((html.unescape(rest) if "&" in rest else rest, rank, mark))
             continue
         if name not in INLINE:
-            for r in range(4):
-                pieces[r].append(" ")
+            pieces.append((" ", 3, 0))
         if kind == "open":
-            if name in VOID or rest.rstrip().endswith("/") and name not in INLINE and name not in ("p", "div", "article", "section"):
+            if not opens(name, rest):
                 continue
-            role = "drop" if dropped else role_of(name, attributes(rest), rank > 1)
+            attrs = attributes(rest)
+            if name not in INLINE and template:
+                nest.open(name, attrs)
+            role = "drop" if dropped else role_of(name, attrs, rank > 1)
             stack.append((name, rank, dropped))
             dropped = dropped or role == "drop"
             if not dropped and RANKS.get(role, 0) > rank:
                 rank = RANKS[role]
                 seen[rank] = True
         else:
+            nest.close(name)
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     _, rank, dropped = stack[i]
                     del stack[i:]
                     break
     best = next((r for r in (3, 2, 1) if seen[r]), 0)
-    return " ".join("".join(pieces[best]).split())
+    sizes = [0, 0, 0]
+    for text, r, mark in pieces:
+        if r >= best:
+            sizes[mark] += len(text.strip())
+    # copies of a page share most of their text, a template does not
+    if best:
+        least = 2 if sizes[2] <= sizes[0] + sizes[1] else 3
+    else:
+        least = 1 if sizes[1] <= sizes[0] else 2
+    return " ".join("".join(" " if mark >= least else text for text, r, mark in pieces if r >= best).split())
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", out: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
@@ -231,7 +316,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     """
     spark = pages.sparkSession
     limit_batches(spark)
-    source = pages.select(F.col(quoted(page_id)).cast("string").alias("page_key"), F.col(quoted(url)).alias("url"), F.col(quoted(page)).alias("html"))
+    source = pages.select(F.col(quoted(url)).alias("url"), F.col(quoted(page)).alias("html"))
     found = materialise(templates(token_sums(source)), "templates")
     keep = [c for c in (pages.columns if keep is None else keep) if c != out]
     kept = [F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)]
@@ -240,12 +325,12 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     rows = pages.select(*kept, F.col(quoted(url)).alias("url__u"), F.col(quoted(page)).alias("html__h"))
     if size_of(found) <= BROADCAST:
         # few enough to hand to every worker as they are
-        known = spark.sparkContext.broadcast({r["host"]: frozenset(r["tokens"]) for r in found.toLocalIterator()})
+        known = spark.sparkContext.broadcast({r["host"]: (frozenset(r["tokens"]), frozenset(r["firm"])) for r in found.toLocalIterator()})
 
         def run(batches):
             for batch in batches:
                 both = zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())
-                text = [extract(h or "", known.value.get(host_of(u), frozenset())) for u, h in both]
+                text = [extract(h or "", *known.value.get(host_of(u), (frozenset(),))) for u, h in both]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], pa.array(text, pa.string())], names=names)
 
         made = rows.mapInArrow(run, schema)
@@ -254,11 +339,11 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
 
         def run_joined(batches):
             for batch in batches:
-                triples = zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())
-                text = [extract(h or "", set(t or ())) for h, t in triples]
+                triples = zip(*(batch.column(n + i).to_pylist() for i in range(3)))
+                text = [extract(h or "", set(t or ()), set(f or ())) for h, t, f in triples]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], pa.array(text, pa.string())], names=names)
 
         with_host = rows.withColumn("host__h", host("url__u"))
-        joined = with_host.join(found.select(F.col("host").alias("host__h"), "tokens"), "host__h", "left")
-        made = joined.select(*[f"k{i}" for i in range(n)], "html__h", "tokens").mapInArrow(run_joined, schema)
+        joined = with_host.join(found.select(F.col("host").alias("host__h"), "tokens", "firm"), "host__h", "left")
+        made = joined.select(*[f"k{i}" for i in range(n)], "html__h", "tokens", "firm").mapInArrow(run_joined, schema)
     return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], out)

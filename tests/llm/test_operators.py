@@ -385,6 +385,24 @@ def test_pages(spark, sf):
         assert r.text == " ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: "" if m[0] in ("<b>", "</b>") else " ", body)).split())
 
 
+def page_texts(spark, pages):
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", page) for i, (host, page) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_extract.main_text(df).orderBy("page_id").collect()]
+
+
+def test_template_text_inside_an_article_goes(spark):
+    own = [f"story {i} of its own words" for i in range(12)]
+    pages = [("in.x", f"<body><article><p>{t}</p><div class=zz><a>Send by mail</a></div><p>more {t}</p></article></body>") for t in own]
+    # a sentence that some articles share is theirs
+    pages += [("some.x", f"<body><main><p>{t}</p><p>{'a common line' if i < 4 else 'line ' + str(i)}</p></main></body>") for i, t in enumerate(own)]
+    # copies of an article are no template
+    pages += [("copy.x", f"<body><article><h1>one</h1><p>the same words</p></article>{i}</body>") for i in range(5)]
+    got = page_texts(spark, pages)
+    assert got[:12] == [f"{t} more {t}" for t in own]
+    assert got[12:16] == [f"{t} a common line" for t in own[:4]]
+    assert got[24:] == ["one the same words"] * 5
+
+
 # --- all of them on awkward tables
 
 
