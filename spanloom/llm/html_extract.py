@@ -11,7 +11,7 @@ between template tokens are slots, and the text in slots is the page's own.
 
 Occurrence vectors are never gathered: each (host, token) keeps the sums of two
 halves of a hash of (page content, count), which agree for equal vectors. Tokens are hashes,
-so a text node is one whatever its length. Copies of a page count as one page. As a text
+so a text node of any length is one. Copies of a page count as one page. As a text
 stands on at least ``LAYOUT`` of the pages with its place, a template has at most 1 / LAYOUT
 times the tokens of an average page of each place.
 
@@ -41,9 +41,7 @@ from pyspark.sql import types as T
 from .common import limit_batches, materialise, quoted, size_of
 
 #: Least share of the pages with its place that a firm, and that any, template text stands on; least pages.
-SUPPORT, LAYOUT, LEAST_PAGES = 0.5, 0.5, 3
-#: Longest text token.
-TEXT_TOKEN = 60
+SUPPORT, LAYOUT, LEAST_PAGES = 0.5, 0.05, 3
 #: Tokens of a valid class; bytes up to which templates are broadcast.
 LEAST_TOKENS, BROADCAST = 2, 8 << 20
 
@@ -153,7 +151,7 @@ def page_tokens(page: str) -> dict[int, tuple[int, int]]:
     for kind, name, rest in events(page):
         if kind == "text":
             text = collapsed(rest)
-            if not 0 < len(text) <= TEXT_TOKEN:
+            if not text:
                 continue
             token, place = hashed(nest.place, "=" + text), nest.place
             if place == ROOT:

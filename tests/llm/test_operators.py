@@ -403,6 +403,18 @@ def test_template_text_inside_an_article_goes(spark):
     assert got[24:] == ["one the same words"] * 5
 
 
+def test_template_text_of_any_length_and_layout_goes(spark):
+    notice = "Our pages set small files on your machine and you agree to all of it by reading on, whatever you may think."
+    layouts = ("<div><p>{t}</p></div><div>{n}</div><div>end {k}</div>", "<section><p>{t}</p><div>{n}</div></section><section>end {k}</section>", "<div>{n}</div><p>{t}</p><div>end {k}</div>")
+    own = [f"page {i} has words of its own, which are not those of any other page of this host, number {i}, and they go on for longer than what frames them does" for i in range(12)]
+    pages = [("three.x", layouts[i % 3].format(t=t, n=f"{notice} Form {i % 3}.", k=f"of form {i % 3}")) for i, t in enumerate(own)]
+    # a page that is there several times makes no template
+    pages += [("again.x", "<div>word</div><div>and more words</div>")] * 4
+    got = page_texts(spark, pages)
+    assert got[:12] == own
+    assert got[12:] == ["word and more words"] * 4
+
+
 # --- all of them on awkward tables
 
 
