@@ -20,17 +20,18 @@ LEAST_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is recognised; ``lang`` becomes the prediction.
 
-    Rejected are texts that are null or have no letter (``und``) and those no machine
-    is sure about. The model learns from the labelled rows of ``docs`` that are not
+    Rejected are texts that are null or have no letter (``und``), those no machine
+    is sure about, and those whose n-grams the samples of all languages lack, as texts
+    of other languages and junk do. The model learns from the labelled rows of ``docs`` that are not
     held out; without such rows nothing can be recognised and every text that has
     a letter stays as it is.
     """
     model = langid.fit(docs)
-    found = langid.predict(docs, model)
+    found = langid.predict(docs, model, typical="lang_typical")
     if not model["languages"]:
         lettered = F.col("text").rlike(r"\p{L}")
         return docs.filter(F.coalesce(lettered, F.lit(False)))
-    kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & F.col("lang_typical"))
     return kept.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 

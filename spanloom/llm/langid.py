@@ -32,6 +32,8 @@ BUCKETS, PER_LANGUAGE, MOST_LANGUAGES, MOST_ROWS = 1 << 14, 400, 200, 10_000
 #: Passes over the sample, and the strength of the regulariser.
 PASSES, STRENGTH = 6, 1e-4
 UNKNOWN = "und"
+#: Least and largest bound on the share of three-byte n-grams that a text of a language may have and its sample not.
+UNSEEN_LEAST, UNSEEN_MOST = 0.3, 0.9
 
 # Families of ISO 639-1 codes; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -190,7 +192,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """
     sample = sample_rows(docs, doc_id, text, lang, per_language)
     if sample is None:
-        return {"languages": [], "machines": {}}
+        return {"languages": [], "machines": {}, "seen": {}, "limits": {}}
     sample, per_language = sample
     packed = map_columns(sample, lambda x: [sparse_counts(x)], ["text"], [T.StructField("packed", T.BinaryType())], ["id", "lang", "draw"])
     rows = sorted(packed.collect(), key=lambda r: (r["lang"], r["draw"], str(r["id"]), r["packed"]))
@@ -211,7 +213,22 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     for family in families:
         for a, b in itertools.combinations([x for x in languages if family_of(x) == family], 2):
             machines["language", a, b] = machine(tongue, a, b)
-    return {"languages": languages, "families": families, "machines": machines}
+    seen, limits = {}, {}
+    for x in languages:
+        own = [samples[i] for i in np.flatnonzero(tongue == x)]
+        rows_with = np.bincount(np.concatenate([at for at, _ in own]), minlength=BUCKETS)
+        seen[x] = rows_with > 0
+        limits[x] = unseen_limit(own, rows_with)
+    return {"languages": languages, "families": families, "machines": machines, "seen": seen, "limits": limits}
+
+
+def unseen_limit(samples: list[tuple[np.ndarray, np.ndarray]], rows_with: np.ndarray) -> float:
+    """The bound for a language: from what each row of its sample has that no other row has.
+
+    The shares cover n-grams of three lengths, nearly all new ones are of the longest.
+    """
+    alone = [3 * float(x[rows_with[at] == 1].sum()) for at, x in samples]
+    return float(np.clip(1.5 * np.quantile(alone, 0.99), UNSEEN_LEAST, UNSEEN_MOST))
 
 
 def vote(scores: Callable[[str, str], np.ndarray], labels: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,10 +247,10 @@ def vote(scores: Callable[[str, str], np.ndarray], labels: list[str], n: int) ->
     return best, least[best, np.arange(n)]
 
 
-def classify(column, model: dict) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
+def classify(column, model: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of each text, and whether the sample of some language has its n-grams."""
     data, offsets = utf8_column(column)
-    labels, scores = [], []
+    labels, scores, typical = [], [], []
     machines = list(model["machines"])
     weights = {m: model["machines"][m][0].astype(np.float32) for m in machines}
     for i, j in row_chunks(offsets):
@@ -263,24 +280,32 @@ def classify(column, model: dict) -> tuple[list[str], np.ndarray]:
             score = 1 / (1 + np.exp(-2 * np.clip(sure, -30, 30)))
         else:
             tongue, score = np.full(n, UNKNOWN, object), np.zeros(n)
+        for r, x in enumerate(tongue.tolist()):
+            own = codes[2, first[r] : first[r + 1] - 2]  # those that run into the next row are not its own
+            # mostly the first decides; a text given to a wrong language is still one of a learnt language
+            typical.append(len(own) > 0 and any(1 - model["seen"][y][own].mean() <= model["limits"][y] for y in (x, *model["languages"]) if y in model["seen"]))
         labels.extend(tongue.tolist())
         scores.append(np.where(letters > 0, score, 0.0))
     known = has_letter(column)
     score = np.concatenate(scores) if scores else np.zeros(0)
-    return [x if k else UNKNOWN for x, k in zip(labels, known)], np.where(known, score, 0.0)
+    return [x if k else UNKNOWN for x, k in zip(labels, known)], np.where(known, score, 0.0), known & np.array(typical, bool)
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None, typical: str | None = None) -> DataFrame:
     """Append lang_pred and score (0 to 1) of each whole text.
 
     A text that is null or has no letter gets ``und`` and score 0, as does every
     text if the model is empty. Rows are independent: repeated rows give repeated
-    results, an empty table an empty one. Columns with these two names are replaced.
+    results, an empty table an empty one. Columns with these names are replaced.
+    ``typical`` names a further column: whether the n-grams of the text are those of
+    some language's sample. The score only compares languages with each other, so a
+    text in none of them can score high.
     """
 
     def run(column):
-        labels, scores = classify(column, model)
-        return [pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
+        labels, scores, known = classify(column, model)
+        return [pa.array(labels, pa.string()), pa.array(scores, pa.float64()), *([pa.array(known, pa.bool_())] if typical else [])]
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields += [T.StructField(typical, T.BooleanType())] if typical else []
     return map_columns(docs, run, [text], fields, docs.columns if keep is None else keep)

@@ -354,6 +354,18 @@ def test_language_edges(spark, docs, none):
     assert langid.fit(none)["languages"] == [] and langid.predict(none, langid.fit(none)).count() == 0
 
 
+def test_language_stage_rejects_what_it_has_not_learnt(spark, sf):
+    import corpus_pipeline
+
+    clean = spark.read.parquet(f"{sf}/documents.parquet")
+    strange = ["Вчера вечером мы пошли в театр и смотрели новую пьесу", "Wczoraj wieczorem poszliśmy do teatru obejrzeć nową sztukę", "昨日の夜は友達と一緒に映画を見に行きました", "xkqj zzvw qpfk wvxz jjkq", "### 7 %% w", "12 34", None]
+    rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    docs = clean.unionByName(rows, allowMissingColumns=True)
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, sf).collect()}
+    had = {r.doc_id for r in clean.filter("text RLIKE '\\\\p{L}'").collect()}
+    assert min(kept) >= 0 and set(kept) == had
+
+
 # --- pages
 
 
