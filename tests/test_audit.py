@@ -277,3 +277,23 @@ def test_entry(spark, sf):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 60
     assert entry.entry(spark).count() > 0
+
+
+def test_lexicon_guard_searches_the_whole_lexicon(spark, sf):
+    import re
+
+    from spanloom import queries as core
+
+    terms = contract.guard_terms(core.catalog(spark, sf)).first()["terms"]
+    assert len(terms) > 40
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text, taken = (r["text"] or "").lower(), []
+        for term in terms:
+            found = [m.span() for m in re.finditer(rf"(?<!\w){re.escape(term)}(?!\w)", text)]
+            taken += [(s, e) for s, e in found if not any(s < y and x < e for x, y in taken)]
+            if len(taken) >= 12:
+                break
+        want[r["doc_id"]] = min(12, len(taken))
+    got = {r["doc_id"]: r["hits"] for r in core.QUERIES["lexicon_guard"](spark, sf).collect()}
+    assert got == want
