@@ -2,7 +2,9 @@
 
 Documents with the same words form one text and go on as their smallest id. Each
 text is sketched over its weighted word shingles; texts that agree in all registers
-of a band meet in a bucket. Texts that buckets connect, directly or over others,
+of a band meet in a bucket. Links are verified by sets of shingles, from which weights
+lead away where a shingle repeats, so a text with repeats brings the bands of
+its set too; those of a text without repeats are the same for both. Texts that buckets connect, directly or over others,
 form a family, and no link leaves a family. Links are then verified exactly by the
 Jaccard similarity of the shingle sets:
 
@@ -77,6 +79,15 @@ def sketches(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, registe
     return owner.reshape(n, registers)
 
 
+def band_keys(sketch: np.ndarray) -> np.ndarray:
+    """The key of each band of each sketch."""
+    bands = REGISTERS // BAND
+    keys = np.zeros((len(sketch), bands), np.uint64)
+    for i in range(BAND):
+        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + sketch[:, i::BAND][:, :bands] + np.arange(bands, dtype=np.uint64))
+    return keys.view(np.int64)
+
+
 def sketch_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, c1, c2, n_words, bands): content key and band keys of every document; docs: doc_id, text."""
 
@@ -89,14 +100,19 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
                 starts, ends, first = word_bounds(part, own)
                 words, other = word_hashes(part, starts, ends), word_hashes(part, starts, ends, 99)
                 row, h, count = weighted_shingles(words, first)
-                sketch = sketches(row, h, 1.0 + np.log(count), b - a)
+                keys = band_keys(sketches(row, h, 1.0 + np.log(count), b - a))
                 n = np.diff(first)
+                repeats = np.zeros(b - a, bool)
+                repeats[row[count > 1]] = True
+                # texts without repeats have the same bands either way
+                place = np.cumsum(repeats) - 1
+                again = repeats[row]
+                plain = band_keys(sketches(place[row[again]], h[again], np.ones(int(again.sum())), int(repeats.sum())))
+                of = np.concatenate([np.arange(b - a), np.flatnonzero(repeats)])
+                by = np.argsort(of, kind="stable")
                 bands = REGISTERS // BAND
-                keys = np.zeros((b - a, bands), np.uint64)
-                for i in range(BAND):
-                    keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + sketch[:, i::BAND][:, :bands] + np.arange(bands, dtype=np.uint64))
-                keys = keys.view(np.int64)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands), pa.int32()), pa.array(keys.ravel()))
+                ends_at = np.concatenate([[0], np.cumsum((1 + repeats) * bands)])
+                listed = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(np.concatenate([keys, plain])[by].ravel()))
                 whole = lambda x: pa.array(span_hashes(x, WORD_BASE, first[:-1], first[1:]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), whole(words), whole(other), pa.array(n.astype(np.int64)), listed], names=["doc_id", "c1", "c2", "n_words", "bands"])
 
@@ -237,7 +253,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     rows = materialise(sketch_rows(known), "sketches")
     texts = rows.filter("n_words > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
     texts = materialise(texts.select("c1", "c2", F.col("x.doc_id").alias("text_id"), "x.bands"), "texts")
-    banded = texts.select(F.col("text_id").alias("node"), F.explode("bands").alias("key"))
+    banded = texts.select(F.col("text_id").alias("node"), F.explode(F.array_distinct("bands")).alias("key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo")).filter("n > 1")
     shared = materialise(banded.join(buckets, "key"), "shared")
     families = components(shared.filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")))

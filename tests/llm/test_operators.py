@@ -204,6 +204,20 @@ def test_near_duplicates(spark, tile):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_with_repeats_on_one_side(spark):
+    rng = random.Random(8)
+    rows = []
+    for pair in range(40):
+        words = [f"p{pair}w{rng.randint(0, 9999)}" for _ in range(104)]
+        rows.append((2 * pair, " ".join(words)))
+        # a few new shingles, and twenty words a thousand times
+        rows.append((2 * pair + 1, " ".join(words + words[:20] * 1000)))
+    rows += [(900, "no words of those above at all in this one"), (901, "")]
+    got = collections.Counter(tuple(r) for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_classes(rows)
+    assert sum(c == i - 1 for i, _, c in got) == 40
+
+
 def brute_kept(rows, window):
     first = {}
     for i, t in rows:
