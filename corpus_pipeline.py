@@ -38,17 +38,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each class; rows without an id stay.
 
-    Repeated rows of the kept id are one document: one of them stays.
+    Rows that share an id and a text are one document: the smallest of them stays. Of an
+    id with several texts each is a document of its own.
     """
-    found = near_dedup.classes(docs.select("doc_id", "text"))
-    gone = found.filter("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # an id that occurs once needs no further shuffle of its text
     repeated = materialise(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
     if repeated.limit(1).count() == 0:
-        return kept
-    first = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+        found = near_dedup.classes(docs.select("doc_id", "text"))
+        gone = found.filter("doc_id <> class_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    own = [F.xxhash64("text").alias("text__1"), F.xxhash64(F.lit(1), "text").alias("text__2")]
+    held = docs.select("*", *own)
+    # keys rise with the ids, so that the smallest id of a class stays
+    texts = held.filter("doc_id IS NOT NULL").select("doc_id", "text__1", "text__2").distinct().orderBy("doc_id", "text__1", "text__2")
+    keys = materialise(texts.withColumn("key__d", F.monotonically_increasing_id()), "keys")
+    keyed = materialise(held.join(keys, ["doc_id", "text__1", "text__2"], "left").select(*docs.columns, "key__d"), "keyed")
+    found = near_dedup.classes(keyed, "key__d", "text")
+    gone = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("key__d")).distinct()
+    kept = keyed.join(gone, "key__d", "left_anti").select(*docs.columns, "key__d")
+    once = kept.join(repeated.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("key__d").agg(F.min(F.struct(*docs.columns)).alias("x"))
+    return once.unionByName(again.select("x.*"))
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

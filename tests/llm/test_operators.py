@@ -218,6 +218,15 @@ def test_near_duplicates_with_repeats_on_one_side(spark):
     assert sum(c == i - 1 for i, _, c in got) == 40
 
 
+def test_near_duplicate_stage_keeps_the_texts_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    copied, apart, last = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(1, copied), (2, copied), (2, apart), (2, apart), (2, last), (3, last), (4, None), (None, copied)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter([(1, copied), (2, apart), (2, last), (4, None), (None, copied)])
+
+
 def brute_kept(rows, window):
     first = {}
     for i, t in rows:
