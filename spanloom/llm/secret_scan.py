@@ -123,7 +123,8 @@ def scan(docs: DataFrame, text: str = "text", out: str = "secrets", keep: list[s
     base = F.concat(F.array().cast(SPAN), *[spans[p.name] for p in PARTS if p.base])
     loose = F.concat(F.array().cast(SPAN), *[spans[p.name] for p in PARTS if not p.base])
     both = found.select(*[F.col(quoted(c)) for c in keep], f"{out}__key", let(F.struct(base.alias("b"), loose.alias("w")), lambda x: F.struct(x["b"].alias("b"), outside(x["w"], x["b"]).alias("w"))).alias(f"{out}__parts"))
-    rows = materialise(both, "parts") if text not in keep else both
+    # written once: the patterns would run again for every branch below
+    rows = materialise(both, "parts")
     p = F.col(f"{out}__parts")
     role = F.create_map(*[F.lit(x) for q in PARTS for x in (q.name, q.role)])
     texts = rows.filter(F.size(p["w"]) > 0).groupBy(f"{out}__key").agg(F.first(p).alias("p"))
