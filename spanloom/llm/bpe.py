@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_columns, worker_cache
+from .common import give_back, map_columns, worker_cache
 from .vec import row_chunks, utf8_column
 
-#: Fragments that a worker remembers, and the longest of them in bytes.
-TABLE_SIZE, TABLE_BYTES = 500_000, 48
+#: Bytes of encoded fragments that a worker remembers (in each of two halves), and the longest of them.
+TABLE_BYTES, LONGEST = 8 << 20, 48
+#: What an entry takes besides its own bytes.
+ENTRY_BYTES = 200
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -40,6 +42,37 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Remembered:
+    """Ids of fragments, in a young and an old half of bounded size.
+
+    What is found in the old half becomes young again; once the young half is full
+    it becomes the old one, so that frequent fragments stay.
+    """
+
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def add(self, fragment: bytes, ids: bytes) -> None:
+        if len(fragment) <= LONGEST:
+            self.young[fragment] = ids
+            self.size += len(fragment) + len(ids) + ENTRY_BYTES
+            if self.size > TABLE_BYTES:
+                self.young, self.old, self.size = {}, self.young, 0
+
+    def look_up(self, fragments: list[bytes]) -> tuple[list[bytes | None], set[bytes]]:
+        """The ids of each fragment, None where unknown, and the unknown fragments."""
+        ids = list(map(self.young.get, fragments))
+        missing = {fragments[i] for i, x in enumerate(ids) if x is None}
+        again = {f: self.old[f] for f in missing if f in self.old}
+        if again:
+            ids = [again.get(f) if x is None else x for f, x in zip(fragments, ids)]
+            for f, x in again.items():
+                self.add(f, x)
+        return ids, missing - again.keys()
+
+
 def load_vocabulary(path: str) -> dict:
     """The tokenizer, the bytes of each id, the forced pairs and the special tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,17 +83,20 @@ def load_vocabulary(path: str) -> dict:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         alphabet = byte_alphabet()
         pieces = {i: bytes(alphabet[c] for c in token) for token, i in spec["model"]["vocab"].items()}
         special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+        del spec
         joined = np.ones((256, 256), bool)
         for piece in pieces.values():
             row = np.frombuffer(piece, np.uint8)
             joined[row[:-1], row[1:]] = False
         pieces |= {i: text for text, i in special.items()}
         table = [pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)]
-        cache[path] = {"tokenizer": tokenizer, "pieces": table, "forced": joined.ravel(), "special": special, "known": {}}
+        cache[path] = {"tokenizer": tokenizer, "pieces": table, "forced": joined.ravel(), "special": special, "known": Remembered()}
+        give_back()
     return cache[path]
 
 
@@ -104,16 +140,14 @@ def encode_rows(data: np.ndarray, offsets: np.ndarray, vocabulary: dict) -> list
         cuts = certain_cuts(part, own, vocabulary["forced"], list(vocabulary["special"]))
         raw, at = part.tobytes(), cuts.tolist()
         fragments = [raw[i:j] for i, j in zip(at, at[1:])]
-        ids = list(map(known.get, fragments))
-        missing = {fragments[i] for i, x in enumerate(ids) if x is None}
+        ids, missing = known.look_up(fragments)
         if missing:
             new = list(missing)
             coded = tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False)
             fresh = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(new, coded)}
             ids = [fresh[f] if x is None else x for f, x in zip(fragments, ids)]
-            if len(known) + len(fresh) > TABLE_SIZE:
-                known.clear()
-            known.update((k, v) for k, v in fresh.items() if len(k) <= TABLE_BYTES)
+            for f, x in fresh.items():
+                known.add(f, x)
         first = np.searchsorted(cuts, own).tolist()
         out.extend(b"".join(ids[i:j]) for i, j in zip(first, first[1:]))
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows and bytes of one Arrow batch between the JVM and a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+#: Most rows and bytes of one Arrow batch between the JVM and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +23,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def limit_batches(spark: SparkSession) -> None:
-    """Keep an Arrow batch small even where single texts are very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Lower the session's limits on an Arrow batch to ours, as texts may be very long; lower ones stay.
+
+    Plans read these settings when they run, after an operator has returned, so they
+    cannot be set back here.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = str(spark.conf.get(name)).strip()
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
+
+
+def released(run: Callable) -> Callable:
+    """``run`` over batches; at its end the worker, which serves later stages too, gives unused memory back."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Return memory that Arrow and the C library hold but nothing uses to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def worker_cache(name: str) -> dict:
@@ -57,7 +85,7 @@ def map_columns(
             made = fn(*[batch.column(n + i) for i in range(len(inputs))])
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], *made], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def quoted(name: str) -> str:
@@ -96,11 +124,14 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def size_of(df: DataFrame) -> int:
-    """Bytes of the files behind a table that ``materialise`` wrote."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total
+    """Bytes that the rows of a written table take in memory, by the sizes of their values."""
+    width = F.lit(16).cast("long")
+    for field in df.schema:
+        c = F.col(quoted(field.name))
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width = width + 16 + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            width = width + 16 + 8 * F.coalesce(F.size(c), F.lit(0))
+        else:
+            width = width + 8
+    return df.agg(F.sum(width)).first()[0] or 0

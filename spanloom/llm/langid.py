@@ -20,6 +20,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,7 +111,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def has_letter(column) -> np.ndarray:
     """Whether each text holds a letter of any script."""
-    return np.array([any(map(str.isalpha, x)) if x else False for x in column.to_pylist()], bool)
+    found = pc.match_substring_regex(column, r"\p{L}")
+    return found.fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
 
 
 def sparse_counts(column) -> pa.Array:

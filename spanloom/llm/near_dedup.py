@@ -1,6 +1,6 @@
 """Near-duplicate documents by ProbMinHash sketches, banding and verification.
 
-Documents with the same words form one text and go on as their smallest id. Each
+Documents with the same words, by a cryptographic digest of them, form one text and go on as their smallest id. Each
 text is sketched over its weighted word shingles; texts that agree in all registers
 of a band meet in a bucket. Links are verified by sets of shingles, from which weights
 lead away where a shingle repeats, so a text with repeats brings the bands of
@@ -21,19 +21,21 @@ the connected components of the links.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches, materialise, quoted, size_of
-from .vec import WORD_BASE, mix64, row_chunks, span_hashes, utf8_column, window_hashes, window_starts, word_bounds, word_hashes
+from .common import limit_batches, materialise, quoted, released, size_of
+from .vec import mix64, range_hashes, row_chunks, utf8_column, window_hashes, window_starts, word_bounds, word_hashes
 
 #: Words of a shingle, least similarity, registers of a sketch and registers of a band.
 SHINGLE, SIMILARITY, REGISTERS, BAND = 5, 0.8, 80, 4
-#: Texts on one side of a cell; bytes up to which a side is broadcast; rounds of the component search.
-TILE, BROADCAST, ROUNDS = 100, 16 << 20, 60
+#: Texts on one side of a cell; bytes up to which a side is broadcast.
+TILE, BROADCAST = 100, 16 << 20
 
 
 def weighted_shingles(words: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,8 +44,7 @@ def weighted_shingles(words: np.ndarray, first: np.ndarray, size: int = SHINGLE)
     h = window_hashes(words, at, size)
     short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size))
     if len(short):
-        whole = np.array([window_hashes(words[first[r] : first[r + 1]], np.zeros(1, np.int64), int(first[r + 1] - first[r]))[0] for r in short], np.uint64)
-        row, h = np.concatenate([row, short]), np.concatenate([h, whole])
+        row, h = np.concatenate([row, short]), np.concatenate([h, range_hashes(words, first[short], first[short + 1])])
     by = np.lexsort((h, row))
     row, h = row[by], h[by]
     new = np.ones(len(row), bool)
@@ -88,6 +89,15 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def content_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit cryptographic digest of the words of each row, joined by one space."""
+    raw, at = data.tobytes(), offsets.tolist()
+    # bytes split at the white space of the operators' word class
+    digests = b"".join(hashlib.blake2b(b" ".join(raw[i:j].split()), digest_size=16).digest() for i, j in zip(at, at[1:]))
+    both = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def sketch_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, c1, c2, n_words, bands): content key and band keys of every document; docs: doc_id, text."""
 
@@ -98,7 +108,7 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
             for a, b in row_chunks(offsets):
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, first = word_bounds(part, own)
-                words, other = word_hashes(part, starts, ends), word_hashes(part, starts, ends, 99)
+                words = word_hashes(part, starts, ends)
                 row, h, count = weighted_shingles(words, first)
                 keys = band_keys(sketches(row, h, 1.0 + np.log(count), b - a))
                 n = np.diff(first)
@@ -113,31 +123,33 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
                 bands = REGISTERS // BAND
                 ends_at = np.concatenate([[0], np.cumsum((1 + repeats) * bands)])
                 listed = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(np.concatenate([keys, plain])[by].ravel()))
-                whole = lambda x: pa.array(span_hashes(x, WORD_BASE, first[:-1], first[1:]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), whole(words), whole(other), pa.array(n.astype(np.int64)), listed], names=["doc_id", "c1", "c2", "n_words", "bands"])
+                c1, c2 = content_keys(part, own)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(c1), pa.array(c2), pa.array(n.astype(np.int64)), listed], names=["doc_id", "c1", "c2", "n_words", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, c1 long, c2 long, n_words long, bands array<long>")
+    return docs.mapInArrow(released(run), "doc_id long, c1 long, c2 long, n_words long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of the edges (a, b) is connected with.
 
     Alternating large-star and small-star steps; each is a few joins of the edge
-    list, nothing is collected, and hot nodes only meet their minimum.
+    list, nothing is collected, and hot nodes only meet their minimum. Minima are
+    written before they are joined: nothing below the join then needs a hot node's rows
+    in one task, so that they may be split. Every round lowers a label of a finite
+    set, and the number of rounds grows with the logarithm of the nodes.
     """
     e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    for _ in range(ROUNDS):
+    while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = materialise(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         targets = e.select(F.col("b").alias("a")).distinct()
         loose = e.join(targets, "a", "left_semi").limit(1).count() + e.groupBy("a").count().filter("count > 1").limit(1).count()
         if loose == 0:
             return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(targets.select("a", "a"))
-    raise RuntimeError("the component search did not end")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -159,7 +171,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(out, pa.binary())], names=[*keep, "shingles"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema)
-    return found.select(*keep, "text").mapInArrow(run, f"{kinds}, shingles binary")
+    return found.select(*keep, "text").mapInArrow(released(run), f"{kinds}, shingles binary")
 
 
 def unpacked(column) -> list[np.ndarray]:
@@ -215,7 +227,7 @@ def verified_links(docs: DataFrame, members: DataFrame, least: float, tile: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(common / np.maximum(1.0, whole - common) if len(a) else np.zeros(0))], names=["node", "near"])
 
     beside = large.join(F.broadcast(hubs) if size_of(hubs) <= BROADCAST else hubs, "family")
-    near = materialise(beside.select("node", "shingles", "hub_shingles").mapInArrow(measure, "node long, near double"), "near")
+    near = materialise(beside.select("node", "shingles", "hub_shingles").mapInArrow(released(measure), "node long, near double"), "near")
     place = members.filter(F.col("size") > tile).join(near.groupBy("node").agg(F.max("near").alias("near")), "node")
     linked = place.filter(F.col("near") >= least).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     strays = place.filter(F.col("near") < least)

@@ -16,7 +16,9 @@ do not overlap and start at every document's first word. So:
    all windows through the hit are compared one by one.
 4. The windows found cover the words that go.
 
-Hashes of blocks and of contexts are independent, so equality rests on 128 bits.
+Hashes of blocks and of contexts are independent, each built by a pseudo-random
+function of every byte and its place, so equality rests on 128 bits without algebra
+between them that some texts could undo.
 Text never travels through a shuffle unless the removed places outgrow ``BROADCAST``.
 """
 
@@ -32,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import limit_batches, map_columns, materialise, quoted, size_of
-from .vec import WORD_BASE, row_chunks, span_hashes, utf8_column, window_hashes, window_starts, word_bounds, word_hashes
+from .common import limit_batches, map_columns, materialise, quoted, released, size_of
+from .vec import range_hashes, row_chunks, utf8_column, window_hashes, window_starts, word_bounds, word_hashes
 
 #: Words of a window and of a block; log2 of the bits of the filter and its segments.
 WINDOW, BLOCK, FILTER_BITS, SEGMENT_BITS = 50, 25, 28, 20
@@ -89,7 +91,7 @@ def build_filter(docs: DataFrame, bits: int, block: int, part: int, parts: int)
             array[np.frombuffer(x, "<u4")] = True
         return pd.DataFrame({"seg": rows["seg"].iloc[:1], "bits": [np.packbits(array, bitorder="little").tobytes()]})
 
-    sent = docs.select("text").mapInArrow(collect_bits, "seg int, at binary")
+    sent = docs.select("text").mapInArrow(released(collect_bits), "seg int, at binary")
     made = sent.groupBy("seg").applyInPandas(set_bits, "seg int, bits binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
     step = 1 << (segment - 3)
@@ -127,7 +129,7 @@ def probe(docs: DataFrame, array, bits: int, window: int, block: int, part: int,
                 lead = np.minimum(reach, at - first[row])
                 tail = np.minimum(reach, first[row + 1] - at - block)
                 other = word_hashes(data, starts, ends, _SECOND_SEED)
-                around = span_hashes(other, WORD_BASE, at - lead, at + block + tail) + lead.astype(np.uint64)
+                around = range_hashes(other, at - lead, at + block + tail, _SECOND_SEED) + lead.astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h.view(np.int64)),
@@ -141,7 +143,7 @@ def probe(docs: DataFrame, array, bits: int, window: int, block: int, part: int,
                     names=["h", "context", "doc_id", "tkey", "at", "lead", "tail"],
                 )
 
-    return docs.select("doc_id", "tkey", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "tkey", "text").mapInArrow(released(run), schema)
 
 
 def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -178,13 +180,13 @@ def windows_at(docs: DataFrame, places: DataFrame, window: int, block: int) -> D
                 row = np.repeat([r for r, _ in found], [len(at) for _, at in found])
                 at = np.concatenate([x for _, x in found])
                 k1 = window_hashes(one, first[row] + at, window)
-                k2 = window_hashes(two, first[row] + at, window)
+                k2 = window_hashes(two, first[row] + at, window, _SECOND_SEED)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(ids[a + row]), pa.array(keys[a + row]), pa.array(at.astype(np.int32))],
                     names=["k1", "k2", "doc_id", "tkey", "at"],
                 )
 
-    return with_places(docs.filter(F.col("doc_id").isNotNull()), places).filter("packed IS NOT NULL").select("doc_id", "tkey", "text", "packed").mapInArrow(run, schema)
+    return with_places(docs.filter(F.col("doc_id").isNotNull()), places).filter("packed IS NOT NULL").select("doc_id", "tkey", "text", "packed").mapInArrow(released(run), schema)
 
 
 def packed(rows: DataFrame, *columns: str) -> DataFrame:
@@ -196,7 +198,7 @@ def packed(rows: DataFrame, *columns: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "tkey", "packed"])
 
     grouped = rows.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct(*columns)).alias("all"))
-    return grouped.mapInArrow(run, "doc_id long, tkey long, packed binary")
+    return grouped.mapInArrow(released(run), "doc_id long, tkey long, packed binary")
 
 
 def removal(column, ranges: Sequence[bytes | None], window: int):

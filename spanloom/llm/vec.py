@@ -10,12 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_MASK = (1 << 64) - 1
-#: Odd multipliers of the byte and word polynomials (any odd 64-bit values do).
-BYTE_BASE = 0x9E3779B97F4A7C15
-WORD_BASE = 0xD1342543DE82EF95
 #: Bytes of text that one vectorised step handles; bounds its temporary arrays.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
@@ -79,50 +75,78 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, by doubling."""
-    out = np.ones(max(n, 1), np.uint64)
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
-        done += step
-    return out
+def seeded(x: np.ndarray, seed: int) -> np.ndarray:
+    """A pseudo-random 64-bit value of each value; another function for each seed."""
+    return mix64(x * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 0x632BE59BD9B4E019 + 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF))
 
 
-_POWERS: dict = {}
+def run_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums modulo 2 ** 64 of values[first[i]:first[i + 1]]."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return total[first[1:]] - total[first[:-1]]
 
 
-def power_pair(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cached powers of a base and of its inverse modulo 2 ** 64."""
-    found = _POWERS.get(base)
-    if found is None or len(found[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        found = _POWERS[base] = (powers(base, size), powers(pow(base, -1, 1 << 64), size))
-    return found
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A 64-bit hash of each word's bytes.
 
+    Each pair of a byte and its place in the word has a pseudo-random value of its own;
+    a word is the mixed sum of its pairs and of its length. No algebra ties places
+    to each other, as powers of one base would, so no family of words collides.
+    """
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK_BYTES, side="right")))
+        size = ends[a:b] - starts[a:b]
+        edge = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(int(edge[-1])) - np.repeat(edge[:-1], size)
+        byte = data[place + np.repeat(starts[a:b], size)]
+        pairs = seeded((place.astype(np.uint64) << np.uint64(8)) | byte, seed)
+        out[a:b] = seeded(run_sums(pairs, edge) + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407), seed)
+        a = b
+    return out
 
-def byte_values(seed: int) -> np.ndarray:
-    return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(seed))
 
+def sequence_hashes(words: np.ndarray, first: np.ndarray, seed: int = 2) -> np.ndarray:
+    """A hash of each row's words in their order; built as that of a word from its bytes."""
+    n = np.diff(first)
+    place = np.arange(len(words)) - np.repeat(first[:-1], n)
+    pairs = seeded(words + seeded(place.astype(np.uint64), seed), seed + 1)
+    return seeded(run_sums(pairs, first) + n.astype(np.uint64) * np.uint64(0xA24BAED4963EE407), seed)
 
-def span_hashes(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Mixed polynomial hashes of values[start:end], independent of the place."""
-    up, down = power_pair(base, len(values) + 1)
-    prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * down[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
+def doubled(level: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Hashes of 2 * width words from each index, given those of width words; the last ones run past the end."""
+    behind = np.zeros_like(level)
+    behind[: max(0, len(level) - width)] = level[width:]
+    return seeded(level + seeded(behind, seed), seed + width)
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    return span_hashes(byte_values(seed)[data], BYTE_BASE, starts, ends)
+
+def range_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 3) -> np.ndarray:
+    """Hashes of words[start:end], none of them empty.
+
+    The hashes of 1, 2, 4, ... words from each index come from each other; a range is
+    covered by the two widest that start and end with it, which hold all its words.
+    """
+    size = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    level, width = words, 1
+    while len(starts):
+        own = np.flatnonzero((size >= width) & (size < 2 * width))
+        if len(own):
+            both = level[starts[own]] + seeded(level[ends[own] - width], seed + 1)
+            out[own] = seeded(both + size[own].astype(np.uint64) * np.uint64(0xA24BAED4963EE407), seed)
+        if 2 * width > int(size.max()):
+            break
+        level = doubled(level, width, seed)
+        width *= 2
+    return out
 
 
-def window_hashes(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, at: np.ndarray, size: int, seed: int = 3) -> np.ndarray:
     """Hashes of ``size`` consecutive words from each index in ``at``."""
-    return span_hashes(words, WORD_BASE, at, at + size)
+    return range_hashes(words, at, at + size, seed)
 
 
 def window_starts(first: np.ndarray, size: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
