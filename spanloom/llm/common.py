@@ -123,6 +123,21 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Append the rank of each row, from 0, in a total order; sorted by ranges, so that no task sees all rows."""
+    low = (1 << 33) - 1
+    rows = materialise(df.orderBy(*order).withColumn("at__r", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("at__r", 33), F.col("at__r").bitwiseAND(F.lit(low))
+    # one count for each partition of the sort
+    sizes = sorted(rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, items = 0, []
+    for p, n in sizes:
+        items += [F.lit(p).cast("long"), F.lit(before).cast("long")]
+        before += n
+    base = F.create_map(*items)[part] if items else F.lit(0)
+    return rows.withColumn(name, (base + place).cast("long")).drop("at__r")
+
+
 def size_of(df: DataFrame) -> int:
     """Bytes that the rows of a written table take in memory, by the sizes of their values."""
     width = F.lit(16).cast("long")
