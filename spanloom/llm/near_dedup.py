@@ -10,10 +10,17 @@ Jaccard similarity of the shingle sets:
 
 * a family of at most ``TILE`` texts is one cell, verified in one task;
 * a larger one first measures all its texts against a hub, the text that shares most
-  buckets. Texts linked to the hub are connected with each other. The others are
-  laid out in blocks against blocks of the whole family; each pair of blocks is a
-  cell of bounded size. Large groups of copies of one text thus cost one comparison
-  each, and yet no link of a text that is not close to the hub is lost.
+  buckets. Texts linked to the hub are connected with each other. As 1 - Jaccard
+  is a metric, a text can only be linked to one of them if its own distance from the
+  hub is at most twice that of a link; such texts meet them in cells of bounded size. All
+  texts that are not linked to the hub form families anew, by the buckets that they
+  share with each other, and are verified in the same way with hubs of their own. So
+  large groups of copies of one text cost one comparison each, and families that only
+  common passages hold together come apart;
+* a family that is still large after ``HUBS`` rounds has no such group at its centre. All
+  its texts meet in cells, block by block.
+
+No step loses a link between two texts that share a bucket.
 
 A cell returns links that connect what it found connected, not all pairs. Classes are
 the connected components of the links.
@@ -34,8 +41,8 @@ from .vec import mix64, range_hashes, row_chunks, utf8_column, window_hashes, wi
 
 #: Words of a shingle, least similarity, registers of a sketch and registers of a band.
 SHINGLE, SIMILARITY, REGISTERS, BAND = 5, 0.8, 80, 4
-#: Texts on one side of a cell; bytes up to which a side is broadcast.
-TILE, BROADCAST = 100, 16 << 20
+#: Texts on one side of a cell; bytes up to which a side is broadcast; rounds of hubs.
+TILE, BROADCAST, HUBS = 100, 16 << 20, 3
 
 
 def weighted_shingles(words: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,11 +219,39 @@ def cell_links(asked: list[np.ndarray], asked_ids: np.ndarray, sets: list[np.nda
     return out
 
 
-def verified_links(docs: DataFrame, members: DataFrame, least: float, tile: int) -> DataFrame:
-    """Links (a, b) inside the families; members: node, family, size, hub."""
-    sets = materialise(shingle_sets(docs, members), "sets")
-    whole = sets.filter(F.col("size") <= tile).select("family", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "node", "shingles")
-    large = sets.filter(F.col("size") > tile)
+def families(banded: DataFrame) -> DataFrame:
+    """(node, family, size, hub) of all nodes that share a bucket with another; banded: node, key.
+
+    family: the smallest node connected over buckets; hub: the node with most neighbours in them.
+    """
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo")).filter("n > 1")
+    # written before the join, so that a hot bucket may be split
+    shared = materialise(banded.join(materialise(buckets, "buckets"), "key"), "shared")
+    found = components(shared.filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")))
+    popular = materialise(shared.groupBy("node").agg(F.sum("n").alias("popular")), "popular")
+    found = materialise(found.join(popular, "node"), "families")
+    sizes = found.groupBy("label").agg(F.count(F.lit(1)).alias("size"), (-F.max(F.struct("popular", (-F.col("node")).alias("other")))["other"]).alias("hub"))
+    return materialise(found.join(materialise(sizes, "sizes"), "label").select("node", F.col("label").alias("family"), "size", "hub"), "members")
+
+
+def grid(asked: DataFrame, others: DataFrame, tile: int) -> DataFrame:
+    """Cells (family, i, j, side, node, shingles) in which every row of ``asked`` meets every one of ``others`` of its family.
+
+    asked, others: family, node, shingles. Both are dealt to blocks of about ``tile`` rows.
+    """
+    sizes = asked.groupBy("family").agg(F.count(F.lit(1)).alias("na")).join(others.groupBy("family").agg(F.count(F.lit(1)).alias("nb")), "family")
+    sizes = materialise(sizes, "counts")
+    side = F.broadcast(sizes) if size_of(sizes) <= BROADCAST else sizes
+    blocks = lambda n: F.ceil(F.col(n) / tile).cast("int")
+    block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), blocks(n)).cast("int")
+    range_of = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    left = asked.join(side, "family").withColumn("i", block("na", 1)).withColumn("j", range_of("nb")).select("family", "i", "j", F.lit(0).alias("side"), "node", "shingles")
+    right = others.join(side, "family").withColumn("j", block("nb", 2)).withColumn("i", range_of("na")).select("family", "i", "j", F.lit(1).alias("side"), "node", "shingles")
+    return left.unionByName(right)
+
+
+def hub_similarity(large: DataFrame) -> DataFrame:
+    """(node, near): similarity of every text of the large families with its family's hub."""
     hubs = materialise(large.filter("node = hub").select("family", F.col("shingles").alias("hub_shingles")).dropDuplicates(["family"]), "hubs")
 
     def measure(batches):
@@ -227,27 +262,48 @@ def verified_links(docs: DataFrame, members: DataFrame, least: float, tile: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(common / np.maximum(1.0, whole - common) if len(a) else np.zeros(0))], names=["node", "near"])
 
     beside = large.join(F.broadcast(hubs) if size_of(hubs) <= BROADCAST else hubs, "family")
-    near = materialise(beside.select("node", "shingles", "hub_shingles").mapInArrow(released(measure), "node long, near double"), "near")
-    place = members.filter(F.col("size") > tile).join(near.groupBy("node").agg(F.max("near").alias("near")), "node")
-    linked = place.filter(F.col("near") >= least).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    strays = place.filter(F.col("near") < least)
-    blocks = lambda n: F.ceil(F.col(n) / tile).cast("int")
-    counts = strays.groupBy("family").agg(F.count(F.lit(1)).alias("strays"))
-    counts = materialise(counts, "counts")
-    small = F.broadcast(counts) if size_of(counts) <= BROADCAST else counts
-    block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), blocks(n)).cast("int")
-    range_of = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    asked = large.join(strays.select("node"), "node", "left_semi").join(small, "family")
-    asked = asked.withColumn("i", block("strays", 1)).withColumn("j", range_of("size")).select("family", "i", "j", F.lit(0).alias("side"), "node", "shingles")
-    others = large.join(small, "family").withColumn("j", block("size", 2)).withColumn("i", range_of("strays")).select("family", "i", "j", F.lit(1).alias("side"), "node", "shingles")
+    near = beside.select("node", "shingles", "hub_shingles").mapInArrow(released(measure), "node long, near double")
+    # a repeated id has several texts, of which the nearest counts
+    return materialise(near.groupBy("node").agg(F.max("near").alias("near")), "near")
+
+
+def verified_links(docs: DataFrame, members: DataFrame, banded: DataFrame, least: float, tile: int) -> DataFrame:
+    """Links (a, b) inside the families; members: node, family, size, hub; banded: node, key."""
 
     def cell(part: pd.DataFrame) -> pd.DataFrame:
         q, m = part[part["side"] != 1], part[part["side"] != 0]
         links = cell_links(unpacked(q["shingles"]), q["node"].to_numpy(), unpacked(m["shingles"]), m["node"].to_numpy(), least) if len(q) and len(m) else []
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    found = whole.unionByName(asked).unionByName(others).groupBy("family", "i", "j").applyInPandas(cell, "a long, b long")
-    return linked.union(found)
+    sets = materialise(shingle_sets(docs, members), "sets")
+    texts = sets.select("node", "shingles")
+    whole = lambda rows: rows.filter(F.col("size") <= tile).select("family", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "node", "shingles")
+    found = whole(sets).groupBy("family", "i", "j").applyInPandas(cell, "a long, b long")
+    large = sets.filter(F.col("size") > tile)
+    for round_ in range(1 + HUBS):
+        if large.limit(1).count() == 0:
+            break
+        if round_ == HUBS:
+            # no hub gathers these: every text meets its whole family
+            pairs = large.select("family", "node", "shingles")
+            return found.union(grid(pairs, pairs, tile).groupBy("family", "i", "j").applyInPandas(cell, "a long, b long"))
+        near = hub_similarity(large)
+        placed = materialise(large.select("node", "family", "hub").distinct().join(near, "node"), "placed")
+        found = found.union(placed.filter(F.col("near") >= least).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        far = materialise(placed.filter(F.col("near") < least).select("node", "near"), "far")
+        # 1 - Jaccard is a metric: a text that far from the hub has no link to one near it
+        ring = large.join(far.filter(F.col("near") >= 2 * least - 1).select("node"), "node", "left_semi").select("family", "node", "shingles")
+        core = large.join(placed.filter(F.col("near") >= least).select("node"), "node", "left_semi").select("family", "node", "shingles")
+        found = found.union(grid(ring, core, tile).groupBy("family", "i", "j").applyInPandas(cell, "a long, b long"))
+        if far.limit(1).count() == 0:
+            break
+        # what is left falls into families of its own once the texts near the hubs are gone
+        banded = materialise(banded.join(far.select("node"), "node", "left_semi"), "banded")
+        again = families(banded)
+        sets = materialise(texts.join(F.broadcast(again) if size_of(again) <= BROADCAST else again, "node"), "sets")
+        found = found.union(whole(sets).groupBy("family", "i", "j").applyInPandas(cell, "a long, b long"))
+        large = sets.filter(F.col("size") > tile)
+    return found
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, tile: int = TILE) -> DataFrame:
@@ -266,14 +322,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     texts = rows.filter("n_words > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
     texts = materialise(texts.select("c1", "c2", F.col("x.doc_id").alias("text_id"), "x.bands"), "texts")
     banded = texts.select(F.col("text_id").alias("node"), F.explode(F.array_distinct("bands")).alias("key"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo")).filter("n > 1")
-    shared = materialise(banded.join(buckets, "key"), "shared")
-    families = components(shared.filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")))
-    popular = shared.groupBy("node").agg(F.sum("n").alias("popular"))
-    families = materialise(families.join(popular, "node"), "families")
-    sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("size"), (-F.max(F.struct("popular", (-F.col("node")).alias("other")))["other"]).alias("hub"))
-    members = materialise(families.join(sizes, "label").select("node", F.col("label").alias("family"), "size", "hub"), "members")
-    found = components(verified_links(known, members, least, tile))
+    found = components(verified_links(known, families(banded), banded, least, tile))
     by_text = rows.select("doc_id", "c1", "c2", "n_words").join(texts.select("c1", "c2", "text_id"), ["c1", "c2"], "left")
     own = F.when(F.col("n_words") > 0, F.col("text_id")).otherwise(F.col("doc_id"))
     labelled = by_text.select("doc_id", F.when(F.col("doc_id").isNotNull(), own).alias("text_id"))
