@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import vocab
+from . import arrow, vocab
 from .core import empty, let, piece
 from .text import EDGE_CHARS, WS, is_word_bounded, occurrences, strip, trim_span
 
@@ -239,14 +239,7 @@ def lexicon_hits(text: Column, terms: Column, most: int = 12) -> Column:
 
     terms: array of strings, sorted by falling length and then text.
     """
-    start = empty("array<struct<start:int,end:int,term:string>>")
-
-    def step(taken: Column, term: Column) -> Column:
-        places = F.transform(occurrences(text, term), lambda s: F.struct(s.alias("start"), (s + F.length(term)).alias("end"), term.alias("term")))
-        free = F.filter(places, lambda p: ~F.exists(taken, lambda t: overlaps(t, p)))
-        return F.when((F.size(taken) >= most) | (F.length(term) < 3) | ~text.contains(term), taken).otherwise(F.slice(F.concat(taken, free), 1, most))
-
-    return F.aggregate(terms, start, step)
+    return arrow.lexicon_hits(text, terms, most)
 
 
 def strip_spans(text: Column, spans: Column) -> Column:

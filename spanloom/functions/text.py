@@ -13,33 +13,17 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import arrow
 from .core import empty, let, piece, quote, regex_spans, running_sums
 
 W = r"\p{L}\p{N}_"
 WS = r"\p{IsWhite_Space}\x1c-\x1f"
-TOKEN = rf"[{W}]+|[^{W}{WS}]"
-TOKENS = "array<struct<tok:string,s:int,e:int>>"
+TOKENS = arrow.TOKENS
 
 
 def tokens(text: Column) -> Column:
     """Words and single signs of the raw text with offsets; no shuffle, the text stays in its row."""
-    both = rf"([{WS}]*)({TOKEN})"
-
-    def placed(x: Column) -> Column:
-        gap, tok = x["gap"], x["tok"]
-        steps = F.transform(tok, lambda t, i: F.length(t) + F.length(F.get(gap, i)))
-
-        def one(before: Column) -> Column:
-            def token(t: Column, i: Column) -> Column:
-                s = F.get(before, i) + F.length(F.get(gap, i))
-                return F.struct(t.alias("tok"), s.alias("s"), (s + F.length(t)).alias("e"))
-
-            return F.transform(tok, token)
-
-        return let(let(steps, running_sums), one)
-
-    found = F.struct(F.regexp_extract_all(text, F.lit(both), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(both), F.lit(2)).alias("tok"))
-    return let(found, placed)
+    return arrow.tokens(text)
 
 
 def nfc(text: Column) -> Column:
@@ -111,7 +95,7 @@ def context(text: Column, s: Column, e: Column, chars: int = 400) -> Column:
     return F.struct(piece(text, from_, s).alias("before"), piece(text, s, e).alias("surface"), piece(text, e, e + chars).alias("after"), from_.alias("window_start"))
 
 
-#: A heading line: a short name with a colon at its end, or a line without lower-case letters.
+# A heading line is a short name with a colon at its end, or a line without lower-case letters.
 HEADING = r"(?m)^[ \t]*(?:[^\n:]{3,45}:[ \t]*|[A-ZĐÀ-ỸÁÂĂÊÔƠƯ][^\na-zà-ỹáâăêôơư]{3,45})$"
 
 
@@ -126,7 +110,7 @@ def nearest_heading(found: Column, at: Column) -> Column:
     return F.when(F.exists(found, lambda h: h["e"] <= at), F.rtrim(F.btrim(last["hit"]), F.lit(": ")))
 
 
-#: Everything that ends a line for ``nearest_header``.
+# Everything that ends a line for ``nearest_header``, and what opens a section or looks like a title.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 HEADER = rf"\A[{WS}]*(?:\p{{Nd}}+[{WS}]*[.)]|[A-ZÀ-Ỹ][^.!?]{{0,80}}:?[{WS}]*\z)"
 

@@ -361,12 +361,12 @@ def unplanned(text: Column, plan: Column, heading: Column, terms: Column) -> Col
     known = F.flatten(F.transform(plan, lambda x: F.transform(occurrences(text, x["text"]), lambda s: F.struct(s.alias("start"), (s + F.length(x["text"])).alias("end")))))
     head = F.when(F.length(F.coalesce(heading, F.lit(""))) > 0, F.transform(occurrences(text, heading), lambda s: F.struct(s.alias("start"), (s + F.length(heading)).alias("end")))).otherwise(empty("array<struct<start:int,end:int>>"))
 
-    def free(taken: Column) -> Column:
-        clear = lambda s: ~F.exists(taken, lambda k: overlaps(k, s))
+    def free(x: Column) -> Column:
+        clear = lambda s: ~F.exists(x["taken"], lambda k: overlaps(k, s))
         numbers = F.filter(F.transform(measurements(text), lambda h: F.struct(h["s"].alias("start"), h["e"].alias("end"), h["hit"].alias("term"))), clear)
-        return F.struct(numbers.alias("measurements"), F.filter(lexicon_hits(F.lower(text), terms), clear).alias("terms"))
+        return F.struct(numbers.alias("measurements"), F.filter(x["hits"], clear).alias("terms"))
 
-    return let(F.concat(known, head), free)
+    return let(F.struct(F.concat(known, head).alias("taken"), lexicon_hits(F.lower(text), terms).alias("hits")), free)
 
 
 def guard_terms(catalog: DataFrame, least: int = 3) -> DataFrame:

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..functions.arrow import line_tokens
 from ..functions.core import empty, hash_unit, let, piece
 from ..functions.text import TOKENS, WS, nearest_header, tokens
 
 SIZE, OVERLAP, CONTEXT, LINE_SIZE = 180, 45, 32, 110
+#: Words that the chunk packer folds at a time.
+PACKED = 4096
 HEADER_LINE = rf"\A[{WS}]*\p{{Nd}}+[{WS}]*[.)]"
 SENTENCE_ENDS, SOFT_ENDS = (".", "!", "?", ";", "…"), (",", ":", "-", "–", "—")
 
@@ -23,19 +26,19 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda k: k * step)).otherwise(empty("array<int>"))
 
 
-def sliding_windows(notes: DataFrame, size: int = SIZE, overlap: int = OVERLAP, context: int = CONTEXT, header: bool = True, id: str = "id", text: str = "text") -> DataFrame:
+def sliding_windows(notes: DataFrame, size: int = SIZE, overlap: int = OVERLAP, context: int = CONTEXT, header: bool = True, id: str = "id", text: str = "text", bare: bool = False) -> DataFrame:
     """Id, w, word_start, char_start, char_end, prefix, content for every window.
 
     prefix: the ``context`` tokens before the window; with ``header`` the tokens of
     the nearest header line come first unless they stand in the prefix or window
-    already. Texts without tokens have no window.
+    already. ``bare`` adds the prefix without header. Texts without tokens have no window.
     """
     rows = notes.select(F.col(id).alias("id"), F.col(text).alias("text"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks"))
     rows = rows.select("id", "text", "toks", F.posexplode(window_starts(F.size("toks"), size, overlap)).alias("w", "word_start"))
     rows = rows.withColumn("content", F.slice("toks", F.col("word_start") + 1, F.lit(size)))
     from_ = F.greatest(F.lit(0), F.col("word_start") - context)
     rows = rows.withColumn("prefix", F.slice("toks", from_ + 1, F.col("word_start") - from_))
-    rows = rows.withColumn("char_start", F.col("content")[0]["s"]).withColumn("char_end", F.element_at("content", -1)["e"])
+    rows = rows.withColumn("char_start", F.col("content")[0]["s"]).withColumn("char_end", F.element_at("content", -1)["e"]).withColumn("bare", F.col("prefix"))
     if header:
         line = nearest_header(F.col("text"), F.col("char_start"))
         words = lambda c: F.transform(c, lambda t: t["tok"])
@@ -51,7 +54,7 @@ def sliding_windows(notes: DataFrame, size: int = SIZE, overlap: int = OVERLAP,
 
         rows = rows.withColumn("head", F.when(line.isNull(), empty(TOKENS)).otherwise(tokens(line)))
         rows = rows.withColumn("prefix", shown(F.col("head"))).drop("head")
-    return rows.select("id", "w", "word_start", "char_start", "char_end", "prefix", "content")
+    return rows.select("id", "w", "word_start", "char_start", "char_end", "prefix", "content", *(["bare"] if bare else []))
 
 
 def units(line: Column, most: int) -> Column:
@@ -103,23 +106,9 @@ def section_windows(notes: DataFrame, most: int = LINE_SIZE, id: str = "id", tex
     Later windows of a section carry its header's tokens as prefix, unless the header
     alone is longer than a window. Only lines meet in a shuffle by note.
     """
-    toks = tokens(F.coalesce(F.col(text), F.lit("")))
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    # a token never holds a line break, so the break count before it is its line
-    breaks = F.transform(lines, lambda x: F.length(x) + 1)
-
-    def per_line(x: Column) -> Column:
-        from ..functions.core import running_sums
-
-        def cut(starts: Column) -> Column:
-            def one(line: Column, i: Column) -> Column:
-                a = F.get(starts, i)
-                own = F.filter(x["toks"], lambda t: (t["s"] >= a) & (t["e"] <= a + F.length(line)))
-                return F.struct(line.rlike(HEADER_LINE).alias("opens"), own.alias("toks"))
-
-            return F.transform(x["lines"], one)
-
-        return let(running_sums(x["breaks"]), cut)
+    body = F.coalesce(F.col(text), F.lit(""))
+    # a token never holds a line break, so every line has its own
+    per_line = F.zip_with(F.split(body, "\n", -1), line_tokens(body), lambda line, toks: F.struct(line.rlike(HEADER_LINE).alias("opens"), toks.alias("toks")))
 
     def sections(ls: Column) -> Column:
         kind = f"array<struct<opens:boolean,toks:{TOKENS}>>"
@@ -139,7 +128,7 @@ def section_windows(notes: DataFrame, most: int = LINE_SIZE, id: str = "id", tex
         parts = F.flatten(F.transform(F.filter(section, lambda x: F.size(x["toks"]) > 0), lambda x: units(x["toks"], most)))
         return F.transform(pack(parts, most), lambda c, i: F.struct(F.when(i == 0, empty(TOKENS)).otherwise(head).alias("prefix"), c.alias("content")))
 
-    made = let(let(F.struct(toks.alias("toks"), lines.alias("lines"), breaks.alias("breaks")), per_line), lambda ls: F.flatten(F.transform(sections(ls), windows)))
+    made = let(per_line, lambda ls: F.flatten(F.transform(sections(ls), windows)))
     rows = notes.select(F.col(id).alias("id"), F.posexplode(made).alias("w", "x"))
     return rows.select("id", "w", F.col("x.prefix").alias("prefix"), F.col("x.content").alias("content"))
 
@@ -163,10 +152,14 @@ def word_span(toks: Column, start: Column, end: Column) -> Column:
     return let(F.struct(F.transform(toks, lambda t: t["s"]).alias("s"), F.transform(toks, lambda t: t["e"]).alias("e")), found)
 
 
-def uncovered(entities: DataFrame, windows: DataFrame) -> DataFrame:
-    """Entities (id, start, end) that no window's tokens hold exactly."""
-    edges = windows.select("id", F.transform("content", lambda t: t["s"]).alias("ss"), F.transform("content", lambda t: t["e"]).alias("es"))
-    held = entities.join(edges, "id").filter(F.array_contains("ss", F.col("start")) & F.array_contains("es", F.col("end")))
+def uncovered(entities: DataFrame, windows: DataFrame, bin: int = 1024) -> DataFrame:
+    """Entities (id, start, end) that no window's tokens hold exactly.
+
+    An entity meets the windows that reach into its ``bin`` characters, not all of its note.
+    """
+    of = lambda c: F.floor(F.col(c) / bin)
+    edges = windows.select("id", F.transform("content", lambda t: t["s"]).alias("ss"), F.transform("content", lambda t: t["e"]).alias("es"), F.explode(F.sequence(of("char_start"), of("char_end"))).alias("bin"))
+    held = entities.withColumn("bin", of("start")).join(edges, ["id", "bin"]).filter(F.array_contains("ss", F.col("start")) & F.array_contains("es", F.col("end")))
     return entities.join(held.select("id", "start", "end").distinct(), ["id", "start", "end"], "left_anti")
 
 
@@ -177,15 +170,15 @@ def training_rows(records: DataFrame, seed: int = 7, o_keep: float = 0.35, heade
     on a share ``o_keep`` of the others; headers go at ``header_dropout`` and windows
     without entity at 1 - ``empty_keep``. Draws are hashes of seed, record, window and place.
     """
-    ws = sliding_windows(records, header=True, **args)
-    plain = sliding_windows(records, header=False, **args).select("id", "w", F.col("prefix").alias("bare"))
+    ws = sliding_windows(records, header=True, bare=True, **args)
     # the header of the same window is left out at random
-    ws = ws.join(plain, ["id", "w"])
     drop = hash_unit(F.lit(seed), F.col("id"), F.col("w"), F.lit("header")) < header_dropout
     ws = ws.withColumn("prefix", F.when(drop, F.col("bare")).otherwise(F.col("prefix"))).drop("bare")
     rows = ws.join(records.select("id", "entities", "genre", "source", "record_kind"), "id")
+    # only entities within the window are looked up among its tokens
+    near = F.filter("entities", lambda e: (e["start"] >= F.col("char_start")) & (e["end"] <= F.col("char_end")))
     own = F.filter(
-        F.transform("entities", lambda e: F.struct(word_span(F.col("content"), e["start"], e["end"]).alias("ws"), e.alias("e"))),
+        F.transform(near, lambda e: F.struct(word_span(F.col("content"), e["start"], e["end"]).alias("ws"), e.alias("e"))),
         lambda x: x["ws"].isNotNull(),
     )
     rows = rows.withColumn("own", own).withColumn("n_prefix", F.size("prefix"))
@@ -273,7 +266,9 @@ def bio_encode(toks: Column, entities: Column) -> Column:
 def training_rows_v1(records: DataFrame, most: int = LINE_SIZE) -> DataFrame:
     """D8 rows: section windows of each record with its tags; the prefix carries none."""
     rows = section_windows(records, most).join(records.select("id", "entities"), "id")
-    rows = rows.withColumn("enc", bio_encode(F.col("content"), F.col("entities"))).withColumn("n_prefix", F.size("prefix"))
+    # an entity outside the window touches none of its tokens
+    near = F.filter("entities", lambda e: (e["end"] > F.col("content")[0]["s"]) & (e["start"] < F.element_at("content", -1)["e"]))
+    rows = rows.withColumn("enc", bio_encode(F.col("content"), near)).withColumn("n_prefix", F.size("prefix"))
     pad = lambda v: F.array_repeat(v, F.col("n_prefix"))
     return rows.select(
         "id",
@@ -289,9 +284,12 @@ def training_rows_v1(records: DataFrame, most: int = LINE_SIZE) -> DataFrame:
 def chunks_by_budget(costs: Column, budget: int) -> Column:
     """Words packed into chunks whose summed sub-token cost fits; struct (first, last) of each.
 
-    A word that alone exceeds the budget is a chunk of its own.
+    A word that alone exceeds the budget is a chunk of its own. Runs of at most
+    ``PACKED`` words are folded at a time, so that the chunks found so far are copied
+    once for each run and not for each word.
     """
     kind = "array<struct<first:int,last:int>>"
+    start = F.struct(empty(kind).alias("out"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"))
 
     def step(state: Column, x: Column) -> Column:
         full = (state["n"] > 0) & (state["sum"] + x["c"] > budget)
@@ -299,13 +297,20 @@ def chunks_by_budget(costs: Column, budget: int) -> Column:
         return F.struct(
             F.when(full, F.concat(state["out"], F.array(done))).otherwise(state["out"]).alias("out"),
             F.when(full, F.lit(1)).otherwise(state["n"] + 1).alias("n"),
-            F.when(full, x["c"]).otherwise(state["sum"] + x["c"]).alias("sum"),
+            F.when(full, x["c"].cast("long")).otherwise(state["sum"] + x["c"]).alias("sum"),
         )
 
-    start = F.struct(empty(kind).alias("out"), F.lit(0).alias("n"), F.lit(0).alias("sum"))
-    numbered = F.transform(costs, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    end = lambda s: F.when(s["n"] > 0, F.concat(s["out"], F.array(F.struct((F.size(costs) - s["n"]).alias("first"), (F.size(costs) - 1).alias("last"))))).otherwise(s["out"])
-    return F.aggregate(numbered, start, step, end)
+    def packed(all_: Column) -> Column:
+        runs = F.when(F.size(all_) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PACKED).cast("int")), lambda g: F.slice(all_, g * PACKED + 1, F.lit(PACKED))))
+
+        def run(state: Column, part: Column) -> Column:
+            fresh = F.struct(empty(kind).alias("out"), state["n"].alias("n"), state["sum"].alias("sum"))
+            return F.aggregate(part, fresh, step, lambda s: F.struct(F.concat(state["out"], s["out"]).alias("out"), s["n"].alias("n"), s["sum"].alias("sum")))
+
+        last = lambda s: F.struct((F.size(all_) - s["n"]).alias("first"), (F.size(all_) - 1).alias("last"))
+        return F.when(F.size(all_) == 0, empty(kind)).otherwise(F.aggregate(runs, start, run, lambda s: F.concat(s["out"], F.array(last(s)))))
+
+    return let(F.transform(costs, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), packed)
 
 
 def encoder_capacity(positions: int, pad_id: int | None, reserved: int = 1) -> int:
