@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions import vocab
 from .functions.core import empty, hash_int, let, piece
 from .functions.cues import clause_before, conflict, support
@@ -18,6 +19,9 @@ from .functions.spans import bio_spans, clean_entities, keep_longest, lexicon_hi
 from .functions.text import align_words, collapse_runs, layout, marked_context, nfc, occurrences, parse_marks, sentence_breaks, shingles, tokens, trim_span, word_count
 from .operators import audit, contract, leakage, match, postprocess, split, stats, windows
 from .plans import jobs
+from .oracles import TOKENS_SQL, spans_sql
+from .oracles import WORD as _WORD
+from .oracles import WS as _WS
 from .streaming import external, journal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,24 +44,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- derived tables -------------------------------------------------------------------
 
-_WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_TOK = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_WS}]"
-_TYPE_LIST = "[" + ", ".join(f"'{t}'" for t in vocab.TYPES) + "]"
-
-TOKENS_SQL = rf"""
-tk AS (SELECT doc_id, text, regexp_extract_all(text, '([{_WS}]*)({_TOK})', 1) AS g, regexp_extract_all(text, '([{_WS}]*)({_TOK})', 2) AS t FROM documents),
-tx AS (SELECT doc_id, unnest(range(len(t))) AS i, unnest(g) AS gap, unnest(t) AS tok FROM tk),
-tokens AS (SELECT doc_id, i, tok, (sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY i))::INT AS e, length(tok) AS n FROM tx)"""
-
-
-def spans_sql(seed: str, name: str = "spans") -> str:
-    return f"""
-{name}_h AS (SELECT doc_id, i, e - n AS s, e, ('0x' || substr(sha256('{seed}:' || doc_id || ':' || i), 1, 8))::BIGINT AS h FROM tokens),
-{name} AS (
-  SELECT a.doc_id, a.i, a.s AS "start", b.e AS "end", {_TYPE_LIST}[(a.h // 1000) % 5 + 1] AS "type", (a.h // 40000) % 100 AS conf, (a.h // 5000) % 8 AS flags
-  FROM (SELECT * FROM {name}_h WHERE h % 40 = 0) a JOIN {name}_h b ON a.doc_id = b.doc_id AND b.i = a.i + (a.h // 64) % 3)"""
-
-
 def span_array(toks: Column, doc_id: Column, seed: str) -> Column:
     """Derived spans (i, start, end, type, conf, flags) of a document's tokens."""
 
@@ -98,6 +84,26 @@ def records(spark: SparkSession, sf_dir: str, seed: str = "g") -> DataFrame:
     return rows.select(F.col("doc_id").cast("string").alias("id"), "text", entity_array(F.col("text"), F.col("spans")).alias("entities"), F.lit("document").alias("record_kind"), "source", F.col("lang").alias("genre"))
 
 
+def faulty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose entities carry faults of every kind, by the confidence of the derived span."""
+    rows = with_spans(spark, sf_dir)
+    text = F.col("text")
+
+    def one(x: Column, plain: Column) -> Column:
+        c = x["conf"] % 16
+        s = F.when(c.isin(5, 7) & (x["start"] > 0), x["start"] - 1).otherwise(x["start"])
+        e = F.when(c == 2, x["end"] + 1000000).when((c == 7) & (x["start"] > 0), x["start"]).when(c == 8, F.least(x["end"] + 150, F.length(text))).otherwise(x["end"])
+        surface = F.when(c == 1, F.concat(plain["text"], F.lit("!"))).when(c.isin(5, 7, 8), piece(text, s, e)).otherwise(plain["text"])
+        kind = F.when(c == 0, "XX").when(c == 4, vocab.TEST).otherwise(x["type"])
+        marks = F.when(c == 3, F.array_append(plain["assertions"], "isOdd")).when(c == 4, F.array(F.lit("isNegated"))).otherwise(plain["assertions"])
+        candidates = F.when(c == 9, F.array(F.lit("K"))).otherwise(empty("array<string>"))
+        made = vocab.entity(surface, s, e, kind, marks, candidates)
+        return F.when(c == 6, F.array(made, made)).otherwise(F.array(made))
+
+    faults = let(F.struct(F.col("spans").alias("s"), entity_array(text, F.col("spans")).alias("e")), lambda x: F.flatten(F.zip_with(x["s"], x["e"], one)))
+    return rows.select(F.col("doc_id").cast("string").alias("id"), "text", faults.alias("entities"), F.lit("document").alias("record_kind"), "source", F.col("lang").alias("genre"))
+
+
 def span_files(spark: SparkSession, sf_dir: str, seed: str) -> DataFrame:
     """file, spans for scoring: entities as match.SPAN."""
     rows = records(spark, sf_dir, seed)
@@ -194,16 +200,19 @@ def clause_lengths(spark, sf_dir):
     return rows.select("doc_id", "s.i", F.length(clause_before(F.col("text"), F.col("s.start"), 220, False)).alias("n"))
 
 
-@query()
+_CUES = {"isNegated": "not, no, pas, nicht, sin", "isHistorical": "was, were, une", "isFamily": "he, she, elle"}
+
+
+@query(oracles.cue_findings(_CUES))
 def cue_findings(spark, sf_dir):
     """English and French cues around derived spans."""
-    cues = {"isNegated": "not, no, pas, nicht, sin", "isHistorical": "was, were, une", "isFamily": "he, she, elle"}
+    cues = _CUES
     rows = with_spans(spark, sf_dir).select("doc_id", "text", F.explode("spans").alias("s"))
     rows = rows.select("doc_id", "s.i", F.array_sort(support(F.col("text"), F.col("s.start"), F.col("s.end"), cues)).alias("a"), F.array_sort(conflict(F.col("text"), F.col("s.start"), cues)).alias("b"))
     return rows.select("doc_id", "i", F.array_join("a", ",").alias("supported"), F.array_join("b", ",").alias("conflicting")).filter("supported <> '' OR conflicting <> ''")
 
 
-@query()
+@query(oracles.WORDS)
 def word_alignment(spark, sf_dir):
     """White-space words of the conversations found again in their text."""
     words = F.split(F.trim("text"), " +", -1)
@@ -211,7 +220,7 @@ def word_alignment(spark, sf_dir):
     return rows.select("conv_id", "turn", F.size("w").alias("n"), F.element_at("w", -1)["e"].alias("last_end"))
 
 
-@query()
+@query(oracles.COMPOSED)
 def composed_texts(spark, sf_dir):
     """Composed length of every text."""
     return read(spark, sf_dir, "documents").select("doc_id", F.length(nfc(F.col("text"))).alias("n"))
@@ -226,7 +235,6 @@ def span_contexts(spark, sf_dir):
 
 # --- contamination ----------------------------------------------------------------------
 
-_WORD = rf"[^{_WS}]+"
 LEAK_SQL = rf"""
 w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM w WHERE len(w) >= 12)),
@@ -253,7 +261,7 @@ def clean_docs(spark, sf_dir):
     return leakage.subset(read(spark, sf_dir, "documents"), keep, "doc_id").select("doc_id", "lang")
 
 
-@query()
+@query(oracles.leakage_scores(LEAK_SQL))
 def leakage_scores(spark, sf_dir):
     """M2: scores over all and over clean documents."""
     shares = _shares(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
@@ -323,7 +331,7 @@ def weighted_styles(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", split.weighted_choice(list(table), list(table.values()), F.lit("style"), F.col("doc_id")).alias("style"))
 
 
-@query()
+@query(oracles.DRAWS)
 def weighted_draws(spark, sf_dir):
     """200 draws with replacement by length."""
     rows = read(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("weight"))
@@ -374,7 +382,7 @@ def type_counts(spark, sf_dir):
     return stats.type_shares(records(spark, sf_dir)).select("type", "n")
 
 
-@query()
+@query(oracles.GENRES)
 def genre_density(spark, sf_dir):
     """Density by genre."""
     return stats.genre_density(records(spark, sf_dir))
@@ -395,19 +403,19 @@ def density_rollup(spark, sf_dir):
     return agg.select(F.coalesce("lang", F.lit("(all)")).alias("lang"), "docs", "chars", "labelled")
 
 
-@query()
+@query(oracles.OCCURRENCES)
 def occurrence_report(spark, sf_dir):
     """Repeated surfaces of every document."""
     return stats.occurrence_rows(records(spark, sf_dir))
 
 
-@query()
+@query(oracles.OCCURRENCE_SUMMARY)
 def occurrence_summary(spark, sf_dir):
     """A4: the summary by type."""
     return jobs.occurrence_report(records(spark, sf_dir))["by_type"]
 
 
-@query()
+@query(oracles.OCCURRENCE_WARNINGS)
 def occurrence_warnings(spark, sf_dir):
     """Thresholds that the corpus misses."""
     return jobs.occurrence_report(records(spark, sf_dir))["warnings"].select(F.array_join("warnings", ",").alias("warnings"))
@@ -442,14 +450,14 @@ def span_overlap_pairs(spark, sf_dir):
     return stats.full_overlaps(rows).filter("pairs > 0")
 
 
-@query()
+@query(oracles.LINT)
 def span_lint(spark, sf_dir):
-    """V1, L3: lint flags with counts."""
-    flags = stats.lint(records(spark, sf_dir))
+    """V1, L3: lint flags of records with planted faults, with counts."""
+    flags = stats.lint(faulty_records(spark, sf_dir))
     return flags.groupBy("grp", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(oracles.KEEP_LONGEST)
 def span_keep_longest(spark, sf_dir):
     """O1: overlaps resolved for the longer span."""
     kind = "struct<i:int,start:int,end:int,type:string,conf:int,flags:int>"
@@ -457,7 +465,7 @@ def span_keep_longest(spark, sf_dir):
     return rows.select("doc_id", F.size("x.kept").alias("kept"), "x.dropped")
 
 
-@query()
+@query(oracles.NMS)
 def span_nms(spark, sf_dir):
     """Greedy suppression by confidence."""
     kind = "struct<start:int,end:int,type:string,confidence:double>"
@@ -479,7 +487,7 @@ def span_merge_runs(spark, sf_dir):
     return postprocess.merge_runs(rows).select(F.col("id").alias("doc_id"), "start", "end", "type", "n_merged")
 
 
-@query()
+@query(oracles.BASELINE)
 def baseline_postprocess(spark, sf_dir):
     """The stages of baseline spans with their counts."""
     names = list(vocab.LABEL_MAP) + ["ORGAN"]
@@ -527,16 +535,20 @@ def bio_rows_v1(spark, sf_dir):
     return rows.select("id", "w", F.size("tokens").alias("n_tokens"), "n_prefix", F.size(F.filter("ner_tags", lambda t: t.startswith("B-"))).alias("spans"))
 
 
-@query()
+@query(oracles.UNCOVERED)
 def window_coverage(spark, sf_dir):
     """Derived spans that no window holds whole."""
     docs = read(spark, sf_dir, "documents")
     ws = windows.sliding_windows(docs, header=False, id="doc_id")
-    spans = with_spans(spark, sf_dir).select(F.col("doc_id").alias("id"), F.explode("spans").alias("s")).select("id", "s.start", "s.end")
-    return windows.uncovered(spans, ws)
+    # half of the spans, made so long that windows may cut them
+    spans = with_spans(spark, sf_dir).select("doc_id", "text", F.explode("spans").alias("s")).filter("s.conf < 50")
+    toks = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
+    last = F.col("toks")[F.least(F.col("s.i") + 70, F.size("toks") - 1)]["e"]
+    long_ = spans.select("doc_id", "s").join(toks, "doc_id").select(F.col("doc_id").alias("id"), "s.start", last.alias("end"))
+    return windows.uncovered(long_, ws)
 
 
-@query()
+@query(oracles.CHUNKS)
 def token_chunks(spark, sf_dir):
     """Tokens packed into chunks by a cost budget."""
     rows = read(spark, sf_dir, "documents").select("doc_id", F.transform(tokens(F.col("text")), lambda t: F.length(t["tok"])).alias("c"))
@@ -544,10 +556,10 @@ def token_chunks(spark, sf_dir):
     return rows.select("doc_id", F.size(windows.chunks_by_budget(F.col("c"), 512)).alias("chunks"))
 
 
-@query()
+@query(oracles.CLEANING)
 def entity_cleaning(spark, sf_dir):
     """Reasons that drop or repair derived entities."""
-    rows = records(spark, sf_dir).select(F.explode(clean_entities(F.col("text"), F.col("entities"))["reasons"]).alias("reason"))
+    rows = faulty_records(spark, sf_dir).select(F.explode(clean_entities(F.col("text"), F.col("entities"))["reasons"]).alias("reason"))
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -562,25 +574,25 @@ def span_trim(spark, sf_dir):
 # --- scores -----------------------------------------------------------------------------------
 
 
-@query()
+@query(oracles.SCORES)
 def greedy_match_prf(spark, sf_dir):
     """The long score table."""
     return match.score_report(span_files(spark, sf_dir, "g"), predicted_files(spark, sf_dir))
 
 
-@query()
+@query(oracles.BOUNDARY)
 def boundary_report(spark, sf_dir):
     """Exact matches and extra words."""
     return match.boundary_report(span_files(spark, sf_dir, "g"), predicted_files(spark, sf_dir))
 
 
-@query()
+@query(oracles.CONFUSION)
 def confusion_topk(spark, sf_dir):
     """Most frequent confusions."""
     return match.confusion(span_files(spark, sf_dir, "g"), predicted_files(spark, sf_dir))
 
 
-@query()
+@query(oracles.TAGS)
 def tag_scores(spark, sf_dir):
     """Exact-span scores of two label sequences."""
     rows = _hash_labels(spark, sf_dir)
@@ -705,7 +717,7 @@ def event_windows(spark, sf_dir):
     return journal.windowed_counts(read(spark, sf_dir, "events"), "ts", "1 hour", "10 minutes", "event_type")
 
 
-@query()
+@query(oracles.REPLIES)
 def external_replies(spark, sf_dir):
     """Replies of the offline client to requests that no cache answers."""
     rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("key"), F.col("text").alias("payload"))
@@ -713,7 +725,7 @@ def external_replies(spark, sf_dir):
     return external.with_cache(rows, cache).select("key", "reply")
 
 
-@query()
+@query(oracles.PREDICTED)
 def predicted_spans(spark, sf_dir):
     """An offline tagger over windows, decoded and suppressed."""
     notes = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
@@ -747,7 +759,7 @@ def draft_plans(spark, sf_dir):
     return reqs.select("request_id", F.size("plan").alias("items"), F.size(F.filter("plan", lambda x: x["should_label"])).alias("labelled"))
 
 
-@query()
+@query(oracles.GUARD)
 def lexicon_guard(spark, sf_dir):
     """Lexicon terms in every document, longest first."""
     terms = contract.guard_terms(catalog(spark, sf_dir))  # every term of the catalogue
@@ -755,10 +767,10 @@ def lexicon_guard(spark, sf_dir):
     return rows.select("doc_id", F.size(lexicon_hits(F.lower("text"), F.col("terms"))).alias("hits"))
 
 
-@query()
+@query(oracles.LABELS)
 def label_validation(spark, sf_dir):
-    """Errors of derived labels."""
-    rows = contract.validate_labels(records(spark, sf_dir)).select(F.explode("errors").alias("error"))
+    """Errors of labels with planted faults."""
+    rows = contract.validate_labels(faulty_records(spark, sf_dir)).select(F.explode("errors").alias("error"))
     return rows.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
