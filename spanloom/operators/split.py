@@ -72,6 +72,19 @@ def union_sources(sources: dict[str, DataFrame], exclude: Sequence[str] = ()) ->
     return out
 
 
+def id_set(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
+    """L4: the union, intersection or difference (except) of two sets of ids, with the operation's name."""
+    made = {"union": lambda: a.union(b).distinct(), "intersect": lambda: a.intersect(b), "except": lambda: a.subtract(b)}
+    if op not in made:
+        raise ValueError(f"no such operation: {op}")
+    return made[op]().withColumn("op", F.lit(op))
+
+
+def stable_distinct(values: Column) -> Column:
+    """The members of an array without repeats, each at its first place."""
+    return F.array_distinct(values)
+
+
 def mass_weights(windows: DataFrame, gold_mass: float = 0.5, standalone: float = 0.6, held_source: str = "part3") -> DataFrame:
     """Adds bucket and sample_weight; a bucket's windows share its mass, the sum is the number of windows.
 

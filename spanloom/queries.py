@@ -645,12 +645,6 @@ def sieve_counts(spark, sf_dir):
 # --- audit ------------------------------------------------------------------------------------
 
 
-@query()
-def screen_findings(spark, sf_dir):
-    """V2-V6, A10: findings of rules and majorities by kind."""
-    return audit.screen_all(records(spark, sf_dir)).groupBy("kind", "mechanical").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT coalesce(f.doc_id, d.doc_id)::VARCHAR AS key, CASE WHEN d.doc_id IS NOT NULL THEN 'delete' ELSE 'fix' END AS kind, CASE WHEN d.doc_id IS NOT NULL AND f.doc_id IS NOT NULL THEN 'fix' END AS supersedes_fix FROM (SELECT * FROM labels WHERE quality = 0) f FULL JOIN (SELECT * FROM labels WHERE toxic = 1) d USING (doc_id)")
 def findings_merge(spark, sf_dir):
     """Fixes and deletions by key; a deletion wins."""
@@ -781,3 +775,7 @@ def dialogue_turn_windows(spark, sf_dir):
 
     w = Window.partitionBy("conv_id").orderBy("turn")
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("turns_so_far"), F.lag("role").over(w).alias("previous"))
+
+
+# the other modules register their queries in the same tables
+from . import queries_rules  # noqa: E402, F401
