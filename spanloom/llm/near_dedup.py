@@ -17,6 +17,8 @@ Jaccard similarity of the shingle sets:
   share with each other, and are verified in the same way with hubs of their own. So
   large groups of copies of one text cost one comparison each, and families that only
   common passages hold together come apart;
+* where the texts not linked to their hubs are so few that meeting their whole families in
+  cells copies each text at most ``COPIES`` times on average, they do that instead;
 * a family that is still large after ``HUBS`` rounds has no such group at its centre. All
   its texts meet in cells, block by block.
 
@@ -41,8 +43,8 @@ from .vec import mix64, range_hashes, row_chunks, utf8_column, window_hashes, wi
 
 #: Words of a shingle, least similarity, registers of a sketch and registers of a band.
 SHINGLE, SIMILARITY, REGISTERS, BAND = 5, 0.8, 80, 4
-#: Texts on one side of a cell; bytes up to which a side is broadcast; rounds of hubs.
-TILE, BROADCAST, HUBS = 100, 16 << 20, 3
+#: Texts on one side of a cell; bytes up to which a side is broadcast; rounds of hubs; copies of a text for the cells of few texts.
+TILE, BROADCAST, HUBS, COPIES = 100, 16 << 20, 3, 8
 
 
 def weighted_shingles(words: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,14 +151,16 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = materialise(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # here a node has one row for each smallest neighbour only, so none is hot
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        targets = e.select(F.col("b").alias("a")).distinct()
-        loose = e.join(targets, "a", "left_semi").limit(1).count() + e.groupBy("a").count().filter("count > 1").limit(1).count()
-        if loose == 0:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(targets.select("a", "a"))
+        # done when every node but the labels themselves has one edge, to a label
+        ends = e.select("a", F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("b", F.lit(0), F.lit(1)))
+        loose = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 OR out = 1 AND into = 1")
+        if loose.limit(1).count() == 0:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select("b", "b").distinct())
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -228,7 +232,7 @@ def families(banded: DataFrame) -> DataFrame:
     # written before the join, so that a hot bucket may be split
     shared = materialise(banded.join(materialise(buckets, "buckets"), "key"), "shared")
     found = components(shared.filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")))
-    popular = materialise(shared.groupBy("node").agg(F.sum("n").alias("popular")), "popular")
+    popular = shared.groupBy("node").agg(F.sum("n").alias("popular"))
     found = materialise(found.join(popular, "node"), "families")
     sizes = found.groupBy("label").agg(F.count(F.lit(1)).alias("size"), (-F.max(F.struct("popular", (-F.col("node")).alias("other")))["other"]).alias("hub"))
     return materialise(found.join(materialise(sizes, "sizes"), "label").select("node", F.col("label").alias("family"), "size", "hub"), "members")
@@ -288,15 +292,21 @@ def verified_links(docs: DataFrame, members: DataFrame, banded: DataFrame, least
             pairs = large.select("family", "node", "shingles")
             return found.union(grid(pairs, pairs, tile).groupBy("family", "i", "j").applyInPandas(cell, "a long, b long"))
         near = hub_similarity(large)
-        placed = materialise(large.select("node", "family", "hub").distinct().join(near, "node"), "placed")
+        placed = materialise(large.select("node", "family", "size", "hub").distinct().join(near, "node"), "placed")
         found = found.union(placed.filter(F.col("near") >= least).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
         far = materialise(placed.filter(F.col("near") < least).select("node", "near"), "far")
+        counts = placed.groupBy("family").agg(F.count_if(F.col("near") < least).alias("far"), F.count(F.lit(1)).alias("size"))
+        copies = F.col("far") * F.ceil(F.col("size") / tile) + F.when(F.col("far") > 0, F.col("size") * F.ceil(F.col("far") / tile)).otherwise(0)
+        cost = counts.agg(F.sum(copies).alias("copies"), F.sum("size").alias("size")).first()
+        if cost["copies"] <= COPIES * cost["size"]:
+            # few texts are far from their hub: they meet their whole family
+            asked = large.join(F.broadcast(far.select("node")) if size_of(far) <= BROADCAST else far.select("node"), "node", "left_semi")
+            pairs = grid(asked.select("family", "node", "shingles"), large.select("family", "node", "shingles"), tile)
+            return found.union(pairs.groupBy("family", "i", "j").applyInPandas(cell, "a long, b long"))
         # 1 - Jaccard is a metric: a text that far from the hub has no link to one near it
         ring = large.join(far.filter(F.col("near") >= 2 * least - 1).select("node"), "node", "left_semi").select("family", "node", "shingles")
         core = large.join(placed.filter(F.col("near") >= least).select("node"), "node", "left_semi").select("family", "node", "shingles")
         found = found.union(grid(ring, core, tile).groupBy("family", "i", "j").applyInPandas(cell, "a long, b long"))
-        if far.limit(1).count() == 0:
-            break
         # what is left falls into families of its own once the texts near the hubs are gone
         banded = materialise(banded.join(far.select("node"), "node", "left_semi"), "banded")
         again = families(banded)

@@ -87,23 +87,48 @@ def run_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+#: Places in a word whose pairs with a byte are looked up; those behind are worked out.
+_PLACES = 64
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def pair_table(seed: int) -> np.ndarray:
+    """The pseudo-random value of each (place, byte) of the first places."""
+    if seed not in _TABLES:
+        _TABLES[seed] = seeded(np.arange(_PLACES * 256, dtype=np.uint64), seed)
+    return _TABLES[seed]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of each word's bytes.
+    """A 64-bit hash of each word's bytes; starts and ends rise.
 
     Each pair of a byte and its place in the word has a pseudo-random value of its own;
     a word is the mixed sum of its pairs and of its length. No algebra ties places
     to each other, as powers of one base would, so no family of words collides.
     """
     out = np.empty(len(starts), np.uint64)
+    table = pair_table(seed)
     a = 0
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK_BYTES, side="right")))
-        size = ends[a:b] - starts[a:b]
-        edge = np.concatenate([[0], np.cumsum(size)])
-        place = np.arange(int(edge[-1])) - np.repeat(edge[:-1], size)
-        byte = data[place + np.repeat(starts[a:b], size)]
-        pairs = seeded((place.astype(np.uint64) << np.uint64(8)) | byte, seed)
-        out[a:b] = seeded(run_sums(pairs, edge) + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407), seed)
+        low, high = int(starts[a]), int(ends[b - 1])
+        s, size = (starts[a:b] - low).astype(np.int32), ends[a:b] - starts[a:b]
+        # the bytes between words take part, but in no word's sum
+        place = np.arange(high - low, dtype=np.int32) - np.repeat(s, np.diff(np.append(s, high - low)))
+        long_ = np.flatnonzero(size > _PLACES)
+        if len(long_):
+            np.minimum(place, _PLACES - 1, out=place)
+        elif len(place):
+            place &= _PLACES - 1
+        place <<= 8
+        place |= data[low:high]
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(table[place], out=total[1:])
+        sums = total[s + size] - total[s]
+        for w in long_.tolist():
+            own = data[starts[a + w] : ends[a + w]]
+            sums[w] = seeded((np.arange(len(own), dtype=np.uint64) << np.uint64(8)) | own, seed).sum(dtype=np.uint64)
+        out[a:b] = seeded(sums + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407), seed)
         a = b
     return out
 
