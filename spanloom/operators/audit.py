@@ -300,9 +300,22 @@ def review_errors(rows: DataFrame, fields: dict[str, Callable[[Column], Column]]
     return rows.select(F.explode(F.array(*made)).alias("x")).groupBy("x.field").agg(F.count_if("x.blank").alias("blank"), F.count_if("x.bad").alias("bad"), F.count(F.lit(1)).alias("n"))
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """A zero-padded id by order; per partition of ids the rank is global over one small table."""
-    return rows.withColumn("doc", F.lpad(F.row_number().over(Window.orderBy(order)).cast("string"), 3, "0"))
+def numbered(rows: DataFrame, order: str, name: str = "doc", width: int = 3) -> DataFrame:
+    """A number from 1 in the order of a column, padded with zeros.
+
+    Rows are sorted by ranges; a number is its place in its range behind the sizes of the
+    ranges before, so no task sees all rows. Equal values are told apart by their digest.
+    """
+    tie = F.sha2(F.to_json(F.struct(*rows.columns)), 256)
+    placed = rows.orderBy(order, tie).withColumn("at__n", F.monotonically_increasing_id())
+    part, place = F.shiftright("at__n", 33), F.col("at__n").bitwiseAND(F.lit((1 << 33) - 1))
+    before, items = 0, []
+    for r in sorted(placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        items += [F.lit(r["p"]).cast("long"), F.lit(before).cast("long")]
+        before += r["n"]
+    base = F.create_map(*items)[part] if items else F.lit(0)
+    number = (base + place + 1).cast("string")
+    return placed.withColumn(name, F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number)).drop("at__n")
 
 
 def stripped_key(surface: Column) -> Column:

@@ -118,13 +118,13 @@ def mass_weights(windows: DataFrame, gold_mass: float = 0.5, standalone: float =
     return df.join(F.broadcast(table), "bucket")  # five rows at most
 
 
-def weighted_sample(df: DataFrame, weight: str, k: int, seed: int, id: str = "id") -> DataFrame:
+def weighted_sample(df: DataFrame, weight: str, k: int, seed: int, id: str = "id", bucket_rows: int = 100_000) -> DataFrame:
     """K draws with replacement by weight: a cumulative sum and a range join.
 
-    The cumulative sum runs per hash bucket with the buckets' totals before it, so
-    no task sees all rows.
+    The cumulative sum runs per hash bucket with the buckets' totals before it. There are
+    at least 64 buckets and one for each ``bucket_rows`` rows, so no task sorts more than that.
     """
-    buckets = 64
+    buckets = max(64, -(-df.count() // bucket_rows))
     rows = df.withColumn("b__", (hash_int(F.col(id)) % buckets).cast("int"))
     totals = rows.groupBy("b__").agg(F.sum(weight).alias("t__"))
     order = Window.orderBy("b__").rowsBetween(Window.unboundedPreceding, -1)

@@ -96,8 +96,9 @@ def score(gold: DataFrame, pred: DataFrame, blocked: DataFrame | None = None) ->
 
 
 def _sieved(files: DataFrame, blocked: DataFrame) -> DataFrame:
-    rows = files.select("file", F.explode("spans").alias("s")).select("file", "s", F.col("s.text").alias("text"))
-    kept = match.sieve(rows, blocked).groupBy("file").agg(F.array_sort(F.collect_list("s")).alias("kept"))
+    # spans keep their order, on which ties of the matching depend
+    rows = files.select("file", F.posexplode("spans").alias("at", "s")).select("file", "at", "s", F.col("s.text").alias("text"))
+    kept = match.sieve(rows, blocked).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias("kept"))
     return files.join(kept, "file", "left").select("file", F.coalesce("kept", empty(f"array<{match.SPAN}>")).alias("spans"))
 
 
@@ -129,8 +130,9 @@ def audit_screen(records: DataFrame, mode: str = "fix") -> DataFrame:
 
 def audit_adjudicate(findings: DataFrame, cache: DataFrame, client: external.Client = external.offline_client, limit: int | None = None, **args) -> DataFrame:
     """E-k adjudicate: replies to all pending findings, cached ones included."""
-    open_ = audit.to_judge(findings, cache.select(F.col("key").alias("id")), limit).filter("NOT mechanical")
-    return external.with_cache(audit.payload(open_), cache, client, **args)
+    answered = findings.filter("NOT mechanical").join(cache.filter("error IS NULL").select("key"), "key", "left_semi").select(*findings.columns)
+    open_ = audit.to_judge(findings, cache.filter("error IS NULL").select(F.col("key").alias("id")), limit).filter("NOT mechanical").select(*findings.columns)
+    return external.with_cache(audit.payload(open_.unionByName(answered)), cache, client, **args)
 
 
 def audit_decide(fix: DataFrame, delete: DataFrame) -> DataFrame:

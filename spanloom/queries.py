@@ -778,4 +778,4 @@ def dialogue_turn_windows(spark, sf_dir):
 
 
 # the other modules register their queries in the same tables
-from . import queries_rules  # noqa: E402, F401
+from . import queries_io, queries_rules  # noqa: E402, F401

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import empty
+from . import files
 
 
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = True, one_file: bool = False) -> None:
@@ -32,6 +33,40 @@ def write_label_files(records: DataFrame, path: str, stem: str = "id") -> None:
     rows.write.mode("overwrite").partitionBy("stem").text(path)
 
 
+def in_place(entities: Column) -> Column:
+    """Entities as label files hold them, by start, end and type."""
+    order = F.array_sort(F.transform(entities, lambda e: F.struct(e["start"].alias("a"), e["end"].alias("b"), e["type"].alias("t"), e.alias("e"))))
+    return app_entities(F.transform(order, lambda x: x["e"]))
+
+
+def note_files(records: DataFrame, path: str, stem: str = "id", overwrite: bool = True) -> int:
+    """S13's input: ``<stem>.txt`` for each note."""
+    return files.write_named(records.select(F.concat(F.col(stem), F.lit(".txt")).alias("name"), F.col("text").alias("value")), path, overwrite)
+
+
+def label_files(records: DataFrame, path: str, stem: str = "id", overwrite: bool = True) -> int:
+    """K2, K3: ``<stem>.json`` for each note, each written whole under another name first."""
+    return files.write_named(records.select(F.concat(F.col(stem), F.lit(".json")).alias("name"), F.to_json(in_place(F.col("entities"))).alias("value")), path, overwrite)
+
+
+def corrected_tree(records: DataFrame, changed: DataFrame, decisions: DataFrame, path: str) -> dict:
+    """K5: ``<source>/notes/<id>.txt`` and ``<source>/labels/<id>.json`` of the changed sources, and ``manifest.json``.
+
+    Entities keep their order. The originals are not touched. Returns the manifest.
+    """
+    import json
+
+    own = records.join(changed.select("source"), "source", "left_semi")
+    label = F.to_json(app_entities(F.col("entities")))
+    named = own.select("source", F.explode(F.array(F.struct(F.concat_ws("/", "source", F.lit("notes"), F.concat("id", F.lit(".txt"))).alias("name"), F.col("text").alias("value")), F.struct(F.concat_ws("/", "source", F.lit("labels"), F.concat("id", F.lit(".json"))).alias("name"), label.alias("value")))).alias("f"))
+    files.write_named(named.select("f.*"), path)
+    written = {r["source"]: r["n"] for r in own.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source").toLocalIterator()}
+    counts = {r["decision"]: r["n"] for r in decisions.groupBy("decision").agg(F.count(F.lit(1)).alias("n")).collect()}
+    manifest = {"stage": "label_audit_applied", "accepted": counts.get("accept", 0), "rejected": counts.get("reject", 0), "files_written": written}
+    files.put(f"{path}/manifest.json", json.dumps(manifest, ensure_ascii=False, indent=2).encode())
+    return manifest
+
+
 def write_corrected(records: DataFrame, changed: DataFrame, path: str) -> None:
     """K5: notes and labels of changed sources only, by source; the originals are not touched."""
     own = records.join(changed, "source", "left_semi")
@@ -71,8 +106,11 @@ def write_stages(stages: list[tuple[str, DataFrame]], path: str) -> None:
 
 
 def export_splits(records: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Records by split; an existing export is an error unless it may be replaced."""
-    records.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("split").json(path)
+    """Records by split, and ``_manifest`` with their counts; an existing export is an error unless it may be replaced."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    records.write.mode(mode).partitionBy("split").json(path)
+    # a name with an underscore is no data to readers of the export
+    records.groupBy("split").agg(F.count(F.lit(1)).alias("rows")).coalesce(1).write.mode(mode).json(f"{path}/_manifest")
 
 
 def export_review(drafts: DataFrame, path: str) -> None:
@@ -89,6 +127,13 @@ def export_app(records: DataFrame, path: str, reviewed: DataFrame | None = None)
     if reviewed is not None and reviewed.limit(1).count():
         raise ValueError("already reviewed")
     rows = numbered(records, "id")
-    rows.select("doc", "text").write.mode("errorifexists").partitionBy("doc").json(f"{path}/notes")
-    rows.select("doc", app_entities(F.array_sort("entities")).alias("entities")).write.mode("errorifexists").partitionBy("doc").json(f"{path}/labels")
-    rows.select("doc", "id", F.sha2("text", 256).alias("sha256")).write.mode("errorifexists").json(f"{path}/metadata")
+    label = F.to_json(in_place(F.col("entities")))
+    if files.exists(f"{path}/notes"):
+        raise FileExistsError(path)
+    note_files(rows, f"{path}/notes", "doc", False)
+    label_files(rows, f"{path}/labels", "doc", False)
+    facts = rows.select(F.col("doc").alias("file_id"), "id", F.size("entities").alias("initial_label_count"), F.sha2("text", 256).alias("note_sha256"), F.sha2(label, 256).alias("initial_labels_sha256"))
+    facts.write.mode("errorifexists").json(f"{path}/metadata")
+    whole = facts.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("initial_label_count"), F.lit(0)).alias("initial_entities"), F.lit(0).alias("reviewed_files"))
+    files.put(f"{path}/manifest.json", whole.select(F.to_json(F.struct("*"))).first()[0].encode())
+    files.put(f"{path}/_reviewed.json", b"[]")
