@@ -197,7 +197,8 @@ def training_rows(records: DataFrame, seed: int = 7, o_keep: float = 0.35, heade
     tags = F.transform(F.sequence(F.lit(0), n - 1), tag)
     kept = lambda t, i: F.when((t != "O") | (hash_unit(F.lit(seed), F.col("id"), F.col("w"), i) < o_keep), 1).otherwise(0)
     flags = lambda e: F.array(*[F.array_contains(e["assertions"], a).cast("int") for a in vocab.ASSERTIONS])
-    rows = rows.withColumn("tags", tags)
+    # drawn before the id is replaced, which a lambda in the same projection would see
+    rows = rows.withColumn("tags", tags).withColumn("mask", F.transform("tags", kept))
     spans = F.transform(
         "own",
         lambda x: F.struct(
@@ -216,7 +217,7 @@ def training_rows(records: DataFrame, seed: int = 7, o_keep: float = 0.35, heade
         F.transform(both, lambda t: F.array(t["s"], t["e"])).alias("char_offsets"),
         "n_prefix",
         F.concat(F.array_repeat(F.lit("O"), F.col("n_prefix")), F.col("tags")).alias("ner_tags"),
-        F.concat(F.array_repeat(F.lit(0), F.col("n_prefix")), F.transform("tags", kept)).alias("token_loss_mask"),
+        F.concat(F.array_repeat(F.lit(0), F.col("n_prefix")), F.col("mask")).alias("token_loss_mask"),
         spans.alias("spans"),
         "genre",
         "source",

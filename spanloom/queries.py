@@ -519,22 +519,6 @@ def bio_decode(spark, sf_dir):
     return rows.select("doc_id", "s.first", "s.last", "s.type")
 
 
-@query()
-def bio_rows(spark, sf_dir):
-    """Training rows of windows, with their tag and loss counts."""
-    rows = windows.training_rows(records(spark, sf_dir))
-    return rows.select("id", F.size("tokens").alias("n_tokens"), "n_prefix", F.size(F.filter("ner_tags", lambda t: t != "O")).alias("tagged"), F.aggregate("token_loss_mask", F.lit(0), lambda s, x: s + x).alias("counted"), F.size("spans").alias("n_spans"), F.size(negative_spans(F.size("tokens"), F.transform("spans", lambda s: F.struct(s["start"].alias("first"), s["end"].alias("last"))), F.col("id"))).alias("negatives"))
-
-
-@query()
-def bio_rows_v1(spark, sf_dir):
-    """Training rows of section windows."""
-    clean = records(spark, sf_dir)
-    clean = clean.withColumn("entities", clean_entities(F.col("text"), F.col("entities"))["entities"])
-    rows = windows.training_rows_v1(clean)
-    return rows.select("id", "w", F.size("tokens").alias("n_tokens"), "n_prefix", F.size(F.filter("ner_tags", lambda t: t.startswith("B-"))).alias("spans"))
-
-
 @query(oracles.UNCOVERED)
 def window_coverage(spark, sf_dir):
     """Derived spans that no window holds whole."""
@@ -613,27 +597,6 @@ def jaccard_turns(spark, sf_dir):
     return rows.select("conv_id", "turn", F.size(F.array_intersect("w", "p")).alias("common"), F.size(F.array_union("w", "p")).alias("either"))
 
 
-@query()
-def wer_turns(spark, sf_dir):
-    """Word errors between neighbouring turns."""
-    from pyspark.sql import Window
-
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)).alias("w"))
-    rows = rows.withColumn("p", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("p IS NOT NULL").filter((F.size("w") > 0) & (F.size("p") > 0))
-    return rows.select("conv_id", "turn", match.word_errors(F.col("p"), F.col("w")).alias("errors"))
-
-
-@query()
-def official_score(spark, sf_dir):
-    """The three-part score of neighbouring turns taken as entities."""
-    from pyspark.sql import Window
-
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.array("role").alias("r"), F.slice(F.split("text", " "), 1, 3).alias("c"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = rows.select(F.col("text").alias("ref"), F.lag("text").over(w).alias("hyp"), F.col("r").alias("gold_assertions"), F.lag("r").over(w).alias("pred_assertions"), F.col("c").alias("gold_candidates"), F.lag("c").over(w).alias("pred_candidates"))
-    return match.official_score(pairs.filter("hyp IS NOT NULL"))
-
-
 @query(f"WITH {TOKENS_SQL} SELECT doc_id, count(*) AS n FROM tokens WHERE lower(tok) NOT IN ('the', 'of', 'and') GROUP BY doc_id")
 def sieve_counts(spark, sf_dir):
     """Tokens that are not on a block list."""
@@ -721,7 +684,7 @@ def external_replies(spark, sf_dir):
 
 @query(oracles.PREDICTED)
 def predicted_spans(spark, sf_dir):
-    """An offline tagger over windows, decoded and suppressed."""
+    """X3, E-d, O2, O9, O12: an offline tagger over windows, decoded and suppressed."""
     notes = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     scorer = external.pattern_scorer({"the": f"B-{vocab.SYMPTOM}", "of": f"I-{vocab.SYMPTOM}", "and": f"B-{vocab.DRUG}"})
     return jobs.predict(notes, scorer, header=False).select("id", F.size("spans").alias("n"))
@@ -778,4 +741,4 @@ def dialogue_turn_windows(spark, sf_dir):
 
 
 # the other modules register their queries in the same tables
-from . import queries_io, queries_rules  # noqa: E402, F401
+from . import queries_io, queries_rules, queries_windows  # noqa: E402, F401
