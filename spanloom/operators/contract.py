@@ -187,6 +187,33 @@ def density_target(low_yield: Column, expected_chars: Column, *parts: Column) ->
     )
 
 
+#: Terms of a lexicon that is kept in memory (plans, guards): most frequent first.
+LEXICON = 200
+
+
+def entity_catalog(rows: DataFrame, kind: Column, most: int = LEXICON, least: int = 4) -> DataFrame:
+    """Text, type, n, sources, flagged: the ``most`` frequent folded surfaces of at least ``least`` characters.
+
+    rows: surface, source. kind: the type of a folded surface, given as the column ``text``.
+    """
+    counts = rows.filter(F.length("surface") >= least).groupBy(F.lower("surface").alias("text")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"))
+    return counts.orderBy(F.desc("n"), "text").limit(most).select("text", kind.alias("type"), "n", "sources", F.lit(False).alias("flagged"))
+
+
+def sample_entities(catalog: DataFrame, kind: str, k: int, seed: int, exclude: list[str] | None = None, least_sources: int = 1) -> DataFrame:
+    """K surfaces of a type in hash order of seed and text: not flagged, from enough sources, in no conflict with the excluded."""
+    rows = catalog.filter((F.col("type") == kind) & ~F.coalesce(F.col("flagged"), F.lit(False)) & (F.col("sources") >= least_sources))
+    if exclude:
+        rows = rows.filter(~surface_conflicts(F.col("text"), F.array(*map(F.lit, exclude))))
+    return rows.withColumn("draw__", F.sha2(F.concat_ws(":", F.lit(seed), "text"), 256)).orderBy("draw__", "text").limit(k).drop("draw__")
+
+
+def lab_pair(catalog: DataFrame, seed: int) -> DataFrame:
+    """One safe test and one safe result, which are planned together."""
+    safe = catalog.filter(surface_safe(F.col("text")))
+    return sample_entities(safe, vocab.TEST, 1, seed).unionByName(sample_entities(safe, vocab.RESULT, 1, seed))
+
+
 def build_plan(reqs: DataFrame, catalog: DataFrame, seed: int, per_type: int = 3) -> DataFrame:
     """request_id, plan: surfaces of the types that a request asks for.
 
@@ -196,14 +223,15 @@ def build_plan(reqs: DataFrame, catalog: DataFrame, seed: int, per_type: int = 3
     hash window of the catalogue around a random place, not by pairing all with all.
     """
     usable = catalog.filter(~F.coalesce(F.col("flagged"), F.lit(False))).filter(surface_safe(F.col("text"))).select("text", "type").distinct()
-    ring = usable.withColumn("slot", F.row_number().over(Window.partitionBy("type").orderBy(F.xxhash64("text"), "text")) - 1)
+    ring = usable.withColumn("slot", F.row_number().over(Window.partitionBy("type").orderBy(F.sha2("text", 256), "text")) - 1)
     sizes = ring.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
     asked = reqs.select("request_id", "brief", F.posexplode(weighted_order_of("type_mix", seed)).alias("rank", "type"))
     asked = asked.join(F.broadcast(sizes), "type")  # one row for each type
     picks = asked.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_type - 1))))
     picks = picks.withColumn("slot", (hash_int(F.lit(seed), F.col("request_id"), F.col("type"), F.col("k")) % F.col("n")).cast("int"))
-    rows = picks.join(ring, ["type", "slot"]).dropDuplicates(["request_id", "text"])
-    ordered = rows.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("k", "rank", "text", "type"))).alias("items"), F.first("brief").alias("brief"))
+    # a surface that is drawn again keeps its first draw
+    rows = picks.join(ring, ["type", "slot"]).groupBy("request_id", "text").agg(F.min(F.struct("k", "rank", "type")).alias("x"))
+    ordered = rows.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("x.k", "x.rank", "text", "x.type"))).alias("items")).join(reqs.select("request_id", "brief"), "request_id")
     kind = "array<struct<k:int,rank:int,text:string,type:string>>"
     step = lambda kept, x: F.when(surface_conflicts(x["text"], F.transform(kept, lambda y: y["text"])), kept).otherwise(F.concat(kept, F.array(x)))
     kept = F.slice(F.aggregate("items", empty(kind), step), F.lit(1), F.col("brief.labeled")[1])
@@ -222,7 +250,7 @@ def weighted_order_of(column: str, seed: int) -> Column:
 def add_unlabelled(plans: DataFrame, catalog: DataFrame, count: int, seed: int) -> DataFrame:
     """``count`` further safe surfaces that appear without label, in no conflict with the plan."""
     terms = catalog.filter(surface_safe(F.col("text"))).select("text", "type").distinct()
-    ring = terms.withColumn("slot", F.row_number().over(Window.orderBy(F.xxhash64("text"), "text")) - 1)
+    ring = terms.withColumn("slot", F.row_number().over(Window.orderBy(F.sha2("text", 256), "text")) - 1)
     n = terms.count()
     if n == 0 or count == 0:
         return plans

@@ -263,9 +263,9 @@ def clean_docs(spark, sf_dir):
 
 @query(oracles.leakage_scores(LEAK_SQL))
 def leakage_scores(spark, sf_dir):
-    """M2: scores over all and over clean documents."""
-    shares = _shares(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
-    return leakage.leakage_report(span_files(spark, sf_dir, "g"), {"model": predicted_files(spark, sf_dir)}, shares)
+    """M2, E-f: scores over all and over clean documents."""
+    targets = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return jobs.leakage_report(span_files(spark, sf_dir, "g"), {"model": predicted_files(spark, sf_dir)}, targets, read(spark, sf_dir, "benchmark"))
 
 
 @query(f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) < 12 THEN 0 ELSE len(list_distinct(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' ')))) END::INT AS n FROM w")
@@ -703,17 +703,8 @@ def plan_coverage(spark, sf_dir):
 
 def catalog(spark, sf_dir):
     """Frequent tokens of the documents as a lexicon of bounded size."""
-    rows = with_tokens(spark, sf_dir).filter(F.length("t.tok") >= 4).groupBy(F.lower("t.tok").alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    top = rows.orderBy(F.desc("n"), "text").limit(200)
-    kind = F.get(F.array(*[F.lit(t) for t in vocab.TYPES]), (hash_int(F.lit("c"), F.col("text")) % 5).cast("int"))
-    return top.select("text", kind.alias("type"), F.lit(False).alias("flagged"))
-
-
-@query()
-def draft_plans(spark, sf_dir):
-    """Plans for 40 requests."""
-    reqs = jobs.draft_requests(spark, 20, 2, catalog(spark, sf_dir))
-    return reqs.select("request_id", F.size("plan").alias("items"), F.size(F.filter("plan", lambda x: x["should_label"])).alias("labelled"))
+    rows = read(spark, sf_dir, "documents").select("source", F.explode(tokens(F.col("text"))).alias("t")).select(F.col("t.tok").alias("surface"), "source")
+    return contract.entity_catalog(rows, F.get(F.array(*[F.lit(t) for t in vocab.TYPES]), (hash_int(F.lit("c"), F.col("text")) % 5).cast("int")))
 
 
 @query(oracles.GUARD)
@@ -741,4 +732,4 @@ def dialogue_turn_windows(spark, sf_dir):
 
 
 # the other modules register their queries in the same tables
-from . import queries_io, queries_rules, queries_windows  # noqa: E402, F401
+from . import queries_drafts, queries_io, queries_rules, queries_windows  # noqa: E402, F401
