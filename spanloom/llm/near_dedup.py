@@ -18,9 +18,9 @@ Jaccard similarity of the shingle sets:
   large groups of copies of one text cost one comparison each, and families that only
   common passages hold together come apart;
 * where the texts not linked to their hubs are so few that meeting their whole families in
-  cells copies each text at most ``COPIES`` times on average, they do that instead;
-* a family that is still large after ``HUBS`` rounds has no such group at its centre. All
-  its texts meet in cells, block by block.
+  cells copies each text at most ``COPIES`` times on average, or so many, over half, that
+  hubs gather little, they do that instead, block by block;
+* so do all texts of a family that is still large after ``HUBS`` rounds.
 
 No step loses a link between two texts that share a bucket.
 
@@ -43,8 +43,9 @@ from .vec import mix64, range_hashes, row_chunks, utf8_column, window_hashes, wi
 
 #: Words of a shingle, least similarity, registers of a sketch and registers of a band.
 SHINGLE, SIMILARITY, REGISTERS, BAND = 5, 0.8, 80, 4
-#: Texts on one side of a cell; bytes up to which a side is broadcast; rounds of hubs; copies of a text for the cells of few texts.
-TILE, BROADCAST, HUBS, COPIES = 100, 16 << 20, 3, 8
+#: Texts on one side of a cell; bytes up to which a side is broadcast; rounds of hubs; copies of a text for the cells of few texts;
+#: edges that one task of the component search takes.
+TILE, BROADCAST, HUBS, COPIES, EDGES = 100, 16 << 20, 3, 8, 200_000
 
 
 def weighted_shingles(words: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,29 +139,68 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(released(run), "doc_id long, c1 long, c2 long, n_words long, bands array<long>")
 
 
+def joined_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges and the smallest node that each is connected with by them."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], least)
+        np.minimum.at(new, label[v], least)
+        # labels of labels, until they are their own
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def contracted(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges (a, b) from nodes to smaller ones that connect what the given edges connect, and the tasks that made them.
+
+    Each task takes about ``EDGES`` edges as they lie and leaves one for each of its
+    nodes: nothing is shuffled, and with one task the result is final.
+    """
+
+    def run(batches):
+        rows = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if rows:
+            nodes, label = joined_labels(*(np.concatenate(x) for x in zip(*rows)))
+            own = nodes != label
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(label[own])], names=["a", "b"])
+
+    tasks = max(1, -(-edges.count() // EDGES))
+    made = edges.select("a", "b").coalesce(tasks).mapInArrow(released(run), "a long, b long")
+    return materialise(made, "edges"), tasks
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of the edges (a, b) is connected with.
 
-    Alternating large-star and small-star steps; each is a few joins of the edge
-    list, nothing is collected, and hot nodes only meet their minimum. Minima are
-    written before they are joined: nothing below the join then needs a hot node's rows
-    in one task, so that they may be split. Every round lowers a label of a finite
-    set, and the number of rounds grows with the logarithm of the nodes.
+    Tasks contract the edges that they hold; what several tasks leave goes through
+    alternating large-star and small-star steps and is contracted again. Nothing is
+    collected, and hot nodes only meet their minimum. Minima are written before they are
+    joined: nothing below the join then needs a hot node's rows in one task, so that they
+    may be split. Every round lowers labels of a finite set, and the number of rounds
+    grows with the logarithm of the nodes.
     """
-    e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    while True:
+    e, tasks = contracted(materialise(edges.select("a", "b").filter("a <> b"), "edges"))
+    while tasks > 1:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # here a node has one row for each smallest neighbour only, so none is hot
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        e, tasks = contracted(materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges"))
         # done when every node but the labels themselves has one edge, to a label
         ends = e.select("a", F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("b", F.lit(0), F.lit(1)))
         loose = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 OR out = 1 AND into = 1")
-        if loose.limit(1).count() == 0:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select("b", "b").distinct())
+        if tasks > 1 and loose.limit(1).count() == 0:
+            break
+    return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select("b", "b").distinct())
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -297,9 +337,9 @@ def verified_links(docs: DataFrame, members: DataFrame, banded: DataFrame, least
         far = materialise(placed.filter(F.col("near") < least).select("node", "near"), "far")
         counts = placed.groupBy("family").agg(F.count_if(F.col("near") < least).alias("far"), F.count(F.lit(1)).alias("size"))
         copies = F.col("far") * F.ceil(F.col("size") / tile) + F.when(F.col("far") > 0, F.col("size") * F.ceil(F.col("far") / tile)).otherwise(0)
-        cost = counts.agg(F.sum(copies).alias("copies"), F.sum("size").alias("size")).first()
-        if cost["copies"] <= COPIES * cost["size"]:
-            # few texts are far from their hub: they meet their whole family
+        cost = counts.agg(F.sum(copies).alias("copies"), F.sum("far").alias("far"), F.sum("size").alias("size")).first()
+        if cost["copies"] <= COPIES * cost["size"] or 2 * cost["far"] > cost["size"]:
+            # few texts are far from their hub, or hubs gather too little to go on with: these texts meet their whole family
             asked = large.join(F.broadcast(far.select("node")) if size_of(far) <= BROADCAST else far.select("node"), "node", "left_semi")
             pairs = grid(asked.select("family", "node", "shingles"), large.select("family", "node", "shingles"), tile)
             return found.union(pairs.groupBy("family", "i", "j").applyInPandas(cell, "a long, b long"))
