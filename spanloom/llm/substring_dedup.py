@@ -9,7 +9,8 @@ do not overlap and start at every document's first word. So:
 2. Every rolling window of ``block`` words of every document probes it. Probes that
    cannot hit are held back by a bit array of fixed size (a Bloom filter; it lets
    some misses pass and never holds back a hit). If the blocks are too many for one
-   array, the index is probed in several rounds, each over a part of the hashes.
+   array, the index is probed in several rounds, each over a part of the hashes; if they
+   are too many for ``MOST_ROUNDS`` arrays, all probes are joined with the index instead.
 3. Hits that blocks of several documents share are extended: the words around them,
    ``window - block`` on either side, form their context. A hit whose whole context
    also stands in a smaller document is a repeat as it is. Where contexts differ,
@@ -39,8 +40,8 @@ from .vec import range_hashes, row_chunks, utf8_column, window_hashes, window_st
 
 #: Words of a window and of a block; log2 of the bits of the filter and its segments.
 WINDOW, BLOCK, FILTER_BITS, SEGMENT_BITS = 50, 25, 28, 20
-#: Filter bits wanted for each block, most rounds, and bytes up to which a side is broadcast.
-BITS_EACH, MOST_ROUNDS, BROADCAST = 8, 16, 16 << 20
+#: Filter bits wanted for each block, most rounds, and bytes in memory up to which a side is broadcast.
+BITS_EACH, MOST_ROUNDS, BROADCAST = 8, 16, 64 << 20
 _SECOND_SEED = 99
 
 
@@ -100,6 +101,18 @@ def build_filter(docs: DataFrame, bits: int, block: int, part: int, parts: int)
     return out
 
 
+def block_index(docs: DataFrame, block: int) -> DataFrame:
+    """(h): the hash of every block, once."""
+
+    def run(batches):
+        for batch in batches:
+            for _, data, own, starts, ends, first in chunks_of(batch.column(0)):
+                h = window_hashes(word_hashes(data, starts, ends), window_starts(first, block, block)[1], block)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], names=["h"])
+
+    return docs.select("text").mapInArrow(released(run), "h long").distinct()
+
+
 def in_filter(h: np.ndarray, array: np.ndarray, bits: int) -> np.ndarray:
     ok = np.ones(len(h), bool)
     for at in filter_places(h, bits):
@@ -108,7 +121,7 @@ def in_filter(h: np.ndarray, array: np.ndarray, bits: int) -> np.ndarray:
 
 
 def probe(docs: DataFrame, array, bits: int, window: int, block: int, part: int, parts: int) -> DataFrame:
-    """(h, context, doc_id, tkey, at, lead, tail) of every rolling block that may be in the index.
+    """(h, context, doc_id, tkey, at, lead, tail) of every rolling block that may be in the index; all of them without an array.
 
     at: the block's first word; lead, tail: words of context before and behind it.
     """
@@ -122,7 +135,7 @@ def probe(docs: DataFrame, array, bits: int, window: int, block: int, part: int,
                 words = word_hashes(data, starts, ends)
                 row, at = window_starts(first, block)
                 h = window_hashes(words, at, block)
-                keep = in_filter(h, array.value, bits)
+                keep = in_filter(h, array.value, bits) if array is not None else np.ones(len(h), bool)
                 if parts > 1:
                     keep &= (h >> np.uint64(20)) % np.uint64(parts) == np.uint64(part)
                 row, at, h = row[keep], at[keep], h[keep]
@@ -197,7 +210,8 @@ def packed(rows: DataFrame, *columns: str) -> DataFrame:
             out = [np.array([list(x.values()) for x in row], "<i4").tobytes() for row in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "tkey", "packed"])
 
-    grouped = rows.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct(*columns)).alias("all"))
+    # a set: rows of equal documents bring the same places, which each task counts once
+    grouped = rows.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct(*columns)).alias("all"))
     return grouped.mapInArrow(released(run), "doc_id long, tkey long, packed binary")
 
 
@@ -251,12 +265,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, bits: int
     spark = docs.sparkSession
     limit_batches(spark)
     n_words = docs.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
-    rounds = min(MOST_ROUNDS, max(1, math.ceil(n_words / block * BITS_EACH / (1 << bits))))
-    probed = None
-    for part in range(rounds):
-        array = spark.sparkContext.broadcast(build_filter(docs, bits, block, part, rounds))
-        one = probe(docs, array, bits, window, block, part, rounds)
-        probed = one if probed is None else probed.unionByName(one)
+    rounds = max(1, math.ceil(n_words / block * BITS_EACH / (1 << bits)))
+    if rounds > MOST_ROUNDS:
+        # too many blocks for filters of this size: the probes meet the index in a shuffle
+        index = materialise(block_index(docs, block), "index")
+        probed = probe(docs, None, bits, window, block, 0, 1).join(index, "h", "left_semi")
+    else:
+        probed = None
+        for part in range(rounds):
+            array = spark.sparkContext.broadcast(build_filter(docs, bits, block, part, rounds))
+            one = probe(docs, array, bits, window, block, part, rounds)
+            probed = one if probed is None else probed.unionByName(one)
     hits = materialise(probed, "hits")
     # hashes that several documents hold; a hash of one document alone proves nothing
     shared = hits.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("context").alias("c1"), F.max("context").alias("c2"))
