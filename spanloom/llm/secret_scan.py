@@ -153,10 +153,14 @@ def summary(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replace every reported span by ``mark``; texts without one, nulls included, stay as they are.
 
-    Overlapping spans are covered by one mark each time a new stretch begins.
+    Overlapping spans are covered by one mark each time a new stretch begins. All columns
+    stay, whatever their names; an empty table gives an empty one.
     """
-    found = scan(docs, text=text, out="spans__found", keep=list(docs.columns))
-    t = F.col(quoted(text))
+    # names of our own for all columns, so that none of theirs can clash
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    body = names[docs.columns.index(text)]
+    found = scan(docs.select(*[F.col(quoted(c)).alias(n) for c, n in zip(docs.columns, names)]), text=body, out="spans", keep=names)
+    t = F.col(body)
 
     def step(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]
@@ -164,9 +168,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         return F.struct(F.concat(state["out"], piece).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate(F.col("spans__found"), start, step, lambda s: F.concat(s["out"], F.substr(t, s["at"] + 1, F.length(t))))
-    new = F.when(F.size("spans__found") > 0, clean).otherwise(t)
-    return found.select(*[new.alias(c) if c == text else F.col(quoted(c)) for c in docs.columns])
+    clean = F.aggregate(F.col("spans"), start, step, lambda s: F.concat(s["out"], F.substr(t, s["at"] + 1, F.length(t))))
+    new = F.when(F.size("spans") > 0, clean).otherwise(t)
+    return found.select(*[(new if n == body else F.col(n)).alias(c) for c, n in zip(docs.columns, names)])
 
 
 def duckdb_sql() -> str:
