@@ -6,7 +6,7 @@ Every set of cues is one alternation, so a text is matched once for each asserti
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ SUPPORT_BEFORE, SUPPORT_AFTER, CONFLICT_BEFORE, CONFLICT_GAP = 220, 26, 30, 18
 EDGE = "[0-9a-zà-ỹ]"
 
 
-def alternation(cues: str) -> str:
+def alternation(cues: Sequence[str]) -> str:
     return "|".join(re.escape(c).replace(r"\ ", " ") for c in vocab.listed(cues))
 
 
@@ -30,13 +30,13 @@ def clause_before(text: Column, at: Column, window: int, hard: bool) -> Column:
     return F.regexp_replace(folded(piece(text, F.greatest(F.lit(0), at - window), at)), rf"(?s)\A.*(?:{ends})", "")
 
 
-def cue_hit(chunk: Column, cues: str, gap: int | None = None) -> Column:
+def cue_hit(chunk: Column, cues: Sequence[str], gap: int | None = None) -> Column:
     """A cue that is no part of a word, at most ``gap`` characters before the chunk's end."""
     tail = rf".{{0,{gap}}}\z" if gap is not None else ""
     return chunk.rlike(rf"(?s)(?<!{EDGE})(?:{alternation(cues)})(?!{EDGE}){tail}")
 
 
-def support(text: Column, s: Column, e: Column, cues: Mapping[str, str] = vocab.SUPPORT_CUES) -> Column:
+def support(text: Column, s: Column, e: Column, cues: Mapping[str, Sequence[str]] = vocab.SUPPORT_CUES) -> Column:
     """Assertions with a cue in the sentence before the span, or a negation just behind it."""
     before = clause_before(text, s, SUPPORT_BEFORE, hard=False)
     after = F.regexp_extract(folded(piece(text, e, e + SUPPORT_AFTER)), r"(?s)\A[^.!?\n]*", 0)
@@ -56,7 +56,7 @@ def support(text: Column, s: Column, e: Column, cues: Mapping[str, str] = vocab.
     return let(F.struct(before.alias("before"), after.alias("after")), found)
 
 
-def conflict(text: Column, s: Column, cues: Mapping[str, str] = vocab.CONFLICT_CUES) -> Column:
+def conflict(text: Column, s: Column, cues: Mapping[str, Sequence[str]] = vocab.CONFLICT_CUES) -> Column:
     """C4: assertions whose cue stands in the clause right before the span.
 
     One cue also counts quantities; followed by such a word it is none.
@@ -66,10 +66,10 @@ def conflict(text: Column, s: Column, cues: Mapping[str, str] = vocab.CONFLICT_C
         word = F.regexp_extract(chunk, rf"(?s)\A.*{vocab.QUANTITY_CUE}\s*([^ ]*)", 1)
         out = []
         for name, listed in cues.items():
-            plain = ",".join(f" {c}" for c in vocab.listed(listed) if c != vocab.QUANTITY_CUE)
+            plain = [c for c in vocab.listed(listed) if c != vocab.QUANTITY_CUE]
             hit = cue_hit(chunk, plain, CONFLICT_GAP)
             if vocab.QUANTITY_CUE in vocab.listed(listed):
-                hit |= cue_hit(chunk, vocab.QUANTITY_CUE, CONFLICT_GAP) & ~word.isin(vocab.listed(vocab.QUANTITY_WORDS))
+                hit |= cue_hit(chunk, [vocab.QUANTITY_CUE], CONFLICT_GAP) & ~word.isin(vocab.listed(vocab.QUANTITY_WORDS))
             out.append(F.when(hit, F.lit(name)))
         return F.array_compact(F.array(*out))
 

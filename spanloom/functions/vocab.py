@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,51 +43,66 @@ LABEL_MAP = {"DRUGCHEMICAL": DRUG, "DISEASESYMTOM": SYMPTOM, "DIAGNOSTICS": TEST
 DRUG_GROUP = ("DRUGCHEMICAL", "UNITCALIBRATOR")
 
 # Surfaces that are headings or general words.
-BLOCKED_SURFACES = tuple(
-    x.strip()
-    for x in (
-        "triệu chứng, triệu chứng hiện tại, các triệu chứng hiện tại, đặc điểm triệu chứng, các triệu chứng, triệu chứng khi khám, "
-        "chẩn đoán, chẩn đoán khác, các chẩn đoán, các phát hiện chẩn đoán khác, chẩn đoán hình ảnh, kết quả chẩn đoán, các kết quả chẩn đoán khác, "
-        "đánh giá, đánh giá tại bệnh viện, khám, thăm khám, khám lâm sàng, xét nghiệm, kết quả xét nghiệm, kết quả, kết quả khám lâm sàng, "
-        "nhập viện, lý do nhập viện, nhập viện:, vào viện, tiền sử, tiền sử bệnh, tiền sử bệnh nội khoa, bệnh sử, bệnh sử hiện tại, "
-        "lịch sử bệnh hiện tại, tiền sử bệnh hiện tại, thủ thuật, các thủ thuật, các thủ thuật đã thực hiện, các thủ thuật thực hiện, thủ thuật thực hiện, "
-        "bệnh nhân, người bệnh, bác sĩ, thuốc, thuốc trước khi nhập viện, điều trị, bệnh viện, bệnh lý, khoa, cấp cứu, mức độ, tình trạng, diễn biến, "
-        "các sự kiện, sự kiện, yếu tố nguy cơ, các yếu tố nguy cơ liên quan, n/a, na, không, có, mãn tính, các bệnh lý mãn tính"
-    ).split(",")
+BLOCKED_SURFACES = (
+    "triệu chứng", "triệu chứng hiện tại", "các triệu chứng hiện tại", "đặc điểm triệu chứng", "các triệu chứng", "triệu chứng khi khám",
+    "chẩn đoán", "chẩn đoán khác", "các chẩn đoán", "các phát hiện chẩn đoán khác", "chẩn đoán hình ảnh", "kết quả chẩn đoán",
+    "các kết quả chẩn đoán khác", "đánh giá", "đánh giá tại bệnh viện", "khám", "thăm khám", "khám lâm sàng", "xét nghiệm", "kết quả xét nghiệm",
+    "kết quả", "kết quả khám lâm sàng", "nhập viện", "lý do nhập viện", "nhập viện:", "vào viện", "tiền sử", "tiền sử bệnh", "tiền sử bệnh nội khoa",
+    "bệnh sử", "bệnh sử hiện tại", "lịch sử bệnh hiện tại", "tiền sử bệnh hiện tại", "thủ thuật", "các thủ thuật", "các thủ thuật đã thực hiện",
+    "các thủ thuật thực hiện", "thủ thuật thực hiện", "bệnh nhân", "người bệnh", "bác sĩ", "thuốc", "thuốc trước khi nhập viện", "điều trị",
+    "bệnh viện", "bệnh lý", "khoa", "cấp cứu", "mức độ", "tình trạng", "diễn biến", "các sự kiện", "sự kiện", "yếu tố nguy cơ",
+    "các yếu tố nguy cơ liên quan", "n/a", "na", "không", "có", "mãn tính", "các bệnh lý mãn tính",
 )
 
 # Cues that support an assertion, cues that contradict its absence, and
 # words after which one cue counts a quantity.
 SUPPORT_CUES = {
-    "isNegated": "không, chưa, phủ nhận, loại trừ, hết, âm tính với, không còn, không có, không ghi nhận, không thấy",
+    "isNegated": (
+        "không", "chưa", "phủ nhận", "loại trừ", "hết", "âm tính với", "không còn", "không có", "không ghi nhận", "không thấy",
+    ),
     "isHistorical": (
-        "tiền sử, trước đây, trước đó, trước kia, đã từng, từng bị, từng được, từng mắc, từng có, từng, trong quá khứ, bệnh án cũ, hồ sơ cũ, "
-        "nhiều năm trước, cách đây, hồi, lúc nhỏ, đợt trước, năm ngoái, đã điều trị ổn định, trong quá trình theo dõi trước"
+        "tiền sử", "trước đây", "trước đó", "trước kia", "đã từng", "từng bị", "từng được", "từng mắc", "từng có", "từng", "trong quá khứ",
+        "bệnh án cũ", "hồ sơ cũ", "nhiều năm trước", "cách đây", "hồi", "lúc nhỏ", "đợt trước", "năm ngoái", "đã điều trị ổn định",
+        "trong quá trình theo dõi trước",
     ),
     "isFamily": (
-        "bố, mẹ, cha, ba, má, ông, bà, anh trai, chị gái, em trai, em gái, người nhà, gia đình, con trai, con gái, cậu, dì, chú, bác, anh, chị, em, "
-        "họ hàng, bên nội, bên ngoại"
+        "bố", "mẹ", "cha", "ba", "má", "ông", "bà", "anh trai", "chị gái", "em trai", "em gái", "người nhà", "gia đình", "con trai", "con gái",
+        "cậu", "dì", "chú", "bác", "anh", "chị", "em", "họ hàng", "bên nội", "bên ngoại",
     ),
 }
 CONFLICT_CUES = {
-    "isNegated": "không, chưa, phủ nhận, loại trừ, không ghi nhận, không có",
-    "isHistorical": "tiền sử, trước đây, đã từng, từng bị, từng mắc, từng, bệnh án cũ, hồ sơ cũ",
+    "isNegated": (
+        "không", "chưa", "phủ nhận", "loại trừ", "không ghi nhận", "không có",
+    ),
+    "isHistorical": (
+        "tiền sử", "trước đây", "đã từng", "từng bị", "từng mắc", "từng", "bệnh án cũ", "hồ sơ cũ",
+    ),
 }
-NEGATION_AFTER = "không, chưa, âm tính"
-QUANTITY_CUE, QUANTITY_WORDS = "từng", (
-    "đợt, bước, loại, người, ngày, lần, cái, mục, phần, cơn, giai đoạn, khoảng, phút, giờ, tuần, tháng, năm, chặng, nhịp, chút, ít, vùng, bên, chi"
+NEGATION_AFTER = (
+    "không", "chưa", "âm tính",
+)
+QUANTITY_CUE = "từng"
+QUANTITY_WORDS = (
+    "đợt", "bước", "loại", "người", "ngày", "lần", "cái", "mục", "phần", "cơn", "giai đoạn", "khoảng", "phút", "giờ", "tuần", "tháng", "năm",
+    "chặng", "nhịp", "chút", "ít", "vùng", "bên", "chi",
 )
 YEAR_WORD = "năm"
 
 # Phrases that speak about the text itself, and phrases and prefixes unsafe as surfaces.
 META_PHRASES = (
-    "không mô tả tình trạng, không nói về đơn thuốc, không nói về triệu chứng, chỉ là thông tin minh họa, chỉ mang tính minh họa, nhằm minh họa, "
-    "thông tin này chỉ là, chỉ là lưu ý chung, lưu ý chung, không cần gán nhãn, intentional-o, gán nhãn, thuật ngữ này, entity này, các cụm như, "
-    "cụm từ, cách nói, cách gọi"
+    "không mô tả tình trạng", "không nói về đơn thuốc", "không nói về triệu chứng", "chỉ là thông tin minh họa", "chỉ mang tính minh họa",
+    "nhằm minh họa", "thông tin này chỉ là", "chỉ là lưu ý chung", "lưu ý chung", "không cần gán nhãn", "intentional-o", "gán nhãn", "thuật ngữ này",
+    "entity này", "các cụm như", "cụm từ", "cách nói", "cách gọi",
+)
+META_NOUNS = (
+    "bệnh nhân", "bác sĩ", "thuốc", "xét nghiệm", "triệu chứng", "chẩn đoán", "kết quả",
+)
+UNSAFE_PHRASES = (
+    "cần thêm thông tin", "triệu chứng của", "không phẫu thuật", "tập trung",
+)
+AMBIGUOUS_PREFIXES = (
+    "bệnh sử", "cảm giác", "có ", "đi lại", "gắng sức", "hoạt động", "khám", "làm việc", "lo lắng", "người", "quan sát", "sinh hoạt", "theo dõi",
 )
-META_NOUNS = "bệnh nhân, bác sĩ, thuốc, xét nghiệm, triệu chứng, chẩn đoán, kết quả"
-UNSAFE_PHRASES = "cần thêm thông tin, triệu chứng của, không phẫu thuật, tập trung"
-AMBIGUOUS_PREFIXES = "bệnh sử, cảm giác, có , đi lại, gắng sức, hoạt động, khám, làm việc, lo lắng, người, quan sát, sinh hoạt, theo dõi"
 
 # Type weights of the reference labels and of sampling, assertion rates, density classes.
 GOLD_WEIGHTS = dict(zip(TYPES, (0.39, 0.26, 0.15, 0.10, 0.10)))
@@ -94,9 +111,9 @@ ASSERTION_RATE, ASSERTION_SPLIT = 0.22, {"isHistorical": 0.62, "isNegated": 0.36
 DENSITY_CLASSES = (("sparse", 6, 10, 0.32, 0.10), ("normal", 11, 16, 0.44, 0.22), ("dense", 17, 25, 0.24, 0.28))
 
 
-def listed(values: str) -> list[str]:
-    """The members of a comma-separated table; a final blank inside a member stays."""
-    return [x.removeprefix(" ") for x in values.split(",")]
+def listed(values: Sequence[str]) -> list[str]:
+    """The members of a table: those of a sequence, or the parts of a text with a comma and a blank between them."""
+    return [x.strip() for x in values.split(",")] if isinstance(values, str) else list(values)
 
 
 def type_table(spark: SparkSession) -> DataFrame:

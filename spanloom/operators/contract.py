@@ -12,6 +12,7 @@ from ..functions.spans import high_precision, lexicon_hits, overlaps, surface_co
 from ..functions.text import LAYOUT_FROM, LEADING_NEGATION, MAX_SHORT, MIN_SHORT, WS, has_table, is_word_bounded, layout, measurements, natural_heading, occurrences, parse_marks, strip
 from .split import weighted_choice, weighted_order
 
+# Caps of a batch, rates of covered, empty, repeated and omitted occurrences, weight of a document's bias.
 MOST_DRAFTS, MOST_VARIANTS = 6000, 40
 COVERED_RATE, EMPTY_RATE = 0.18, 0.06
 REPEAT_RATE, OMITTED_FIRST, FOCUS_RATE = 0.38, 0.55, 0.62
@@ -19,23 +20,21 @@ BIAS_RATE = 0.88
 
 # Coverage profiles (key, format, heading, low yield, types in order).
 PROFILES = (
-    ("outpatient_followup", "outpatient_followup_note", "Tái khám", False, "SYM DX DRUG"),
-    ("admission", "admission_note_excerpt", "Nhập viện", False, "SYM DX TEST RES"),
-    ("nursing", "nursing_progress_note", "Theo dõi điều dưỡng", False, "SYM TEST RES"),
-    ("medication", "medication_reconciliation", "Danh sách thuốc", False, "DRUG DX SYM"),
-    ("laboratory", "laboratory_result_form", "Phiếu kết quả", False, "TEST RES"),
-    ("imaging", "imaging_request_note", "Chỉ định chẩn đoán hình ảnh", False, "TEST DX RES SYM"),
-    ("telehealth", "telehealth_consultation", "Trao đổi từ xa", False, "SYM DRUG DX"),
-    ("referral", "referral_letter_excerpt", "Giấy chuyển tuyến", False, "DX TEST RES DRUG"),
-    ("procedure", "procedure_preparation_note", "Chuẩn bị thủ thuật", False, "TEST DRUG SYM"),
-    ("discharge", "discharge_instruction", "Dặn dò ra viện", False, "DRUG DX SYM"),
-    ("education", "patient_education_leaflet", "Thông tin dành cho người bệnh", True, "DX SYM"),
-    ("counseling", "medication_counseling_leaflet", "Lưu ý khi dùng thuốc", True, "DRUG DX"),
-    ("qa_answer", "patient_question_answer", "Hỏi đáp cùng bác sĩ", True, "SYM DX"),
-    ("prevention", "prevention_guidance_note", "Hướng dẫn phòng ngừa", True, "DX SYM DRUG"),
+    ("outpatient_followup", "outpatient_followup_note", "Tái khám", False, (vocab.SYMPTOM, vocab.DIAGNOSIS, vocab.DRUG)),
+    ("admission", "admission_note_excerpt", "Nhập viện", False, (vocab.SYMPTOM, vocab.DIAGNOSIS, vocab.TEST, vocab.RESULT)),
+    ("nursing", "nursing_progress_note", "Theo dõi điều dưỡng", False, (vocab.SYMPTOM, vocab.TEST, vocab.RESULT)),
+    ("medication", "medication_reconciliation", "Danh sách thuốc", False, (vocab.DRUG, vocab.DIAGNOSIS, vocab.SYMPTOM)),
+    ("laboratory", "laboratory_result_form", "Phiếu kết quả", False, (vocab.TEST, vocab.RESULT)),
+    ("imaging", "imaging_request_note", "Chỉ định chẩn đoán hình ảnh", False, (vocab.TEST, vocab.DIAGNOSIS, vocab.RESULT, vocab.SYMPTOM)),
+    ("telehealth", "telehealth_consultation", "Trao đổi từ xa", False, (vocab.SYMPTOM, vocab.DRUG, vocab.DIAGNOSIS)),
+    ("referral", "referral_letter_excerpt", "Giấy chuyển tuyến", False, (vocab.DIAGNOSIS, vocab.TEST, vocab.RESULT, vocab.DRUG)),
+    ("procedure", "procedure_preparation_note", "Chuẩn bị thủ thuật", False, (vocab.TEST, vocab.DRUG, vocab.SYMPTOM)),
+    ("discharge", "discharge_instruction", "Dặn dò ra viện", False, (vocab.DRUG, vocab.DIAGNOSIS, vocab.SYMPTOM)),
+    ("education", "patient_education_leaflet", "Thông tin dành cho người bệnh", True, (vocab.DIAGNOSIS, vocab.SYMPTOM)),
+    ("counseling", "medication_counseling_leaflet", "Lưu ý khi dùng thuốc", True, (vocab.DRUG, vocab.DIAGNOSIS)),
+    ("qa_answer", "patient_question_answer", "Hỏi đáp cùng bác sĩ", True, (vocab.SYMPTOM, vocab.DIAGNOSIS)),
+    ("prevention", "prevention_guidance_note", "Hướng dẫn phòng ngừa", True, (vocab.DIAGNOSIS, vocab.SYMPTOM, vocab.DRUG)),
 )
-SHORT_TYPES = dict(zip("SYM DX TEST RES DRUG".split(), vocab.TYPES))
-
 # Briefs by case prefix (format, heading, length, labelled, unlabelled, all mentions).
 BRIEFS = (
     ("discourse.education", "patient_education_leaflet", "THÔNG TIN DÀNH CHO NGƯỜI BỆNH", 250, 550, 1, 3, 2, 4, 8),
@@ -54,7 +53,7 @@ CUE_STYLES = {
 
 
 def profile_table(spark) -> DataFrame:
-    rows = [(k, f, h, low, [SHORT_TYPES[t] for t in types.split()]) for k, f, h, low, types in PROFILES]
+    rows = [(k, f, h, low, list(types)) for k, f, h, low, types in PROFILES]
     frame = spark.createDataFrame(rows, "key string, document_format string, heading string, low_yield boolean, type_mix array<string>")
     order = {k: i for i, (k, *_) in enumerate(PROFILES)}
     seat = F.create_map(*[F.lit(x) for k, i in order.items() for x in (k, i if i < 10 else i - 10)])

@@ -303,7 +303,7 @@ SELECT u.doc_id AS id, (a.e - a.n)::INT AS "start", b.e::INT AS "end" FROM u JOI
 # --- cues
 
 
-def cue_sql(chunk: str, cues: str, gap: int | None = None) -> str:
+def cue_sql(chunk: str, cues, gap: int | None = None) -> str:
     """A cue that is no part of a word; without look-around the neighbours are consumed."""
     words = "|".join(c.replace("'", "''") for c in vocab.listed(cues))
     edge = "0-9a-zà-ỹ"
@@ -337,10 +337,10 @@ def conflict_sql(text: str, s: str, cues) -> dict[str, str]:
     out = {}
     for name, listed_ in cues.items():
         words = vocab.listed(listed_)
-        hit = cue_sql(chunk, ", ".join(w for w in words if w != vocab.QUANTITY_CUE), 18)
+        hit = cue_sql(chunk, [w for w in words if w != vocab.QUANTITY_CUE], 18)
         if vocab.QUANTITY_CUE in words:
             next_ = rf"regexp_extract({chunk}, '(?s)^.*{vocab.QUANTITY_CUE}\s*([^ ]*)', 1)"
-            hit = f"({hit} OR ({cue_sql(chunk, vocab.QUANTITY_CUE, 18)} AND {next_} NOT IN ({listed(vocab.listed(vocab.QUANTITY_WORDS))})))"
+            hit = f"({hit} OR ({cue_sql(chunk, [vocab.QUANTITY_CUE], 18)} AND {next_} NOT IN ({listed(vocab.listed(vocab.QUANTITY_WORDS))})))"
         out[name] = hit
     return out
 

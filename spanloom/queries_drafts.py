@@ -34,7 +34,7 @@ def catalog_samples(spark, sf_dir):
     return picked.unionByName(contract.lab_pair(rows, 11).withColumn("what", F.lit("pair"))).select("what", "text", "type", "sources")
 
 
-_PROFILES = ", ".join(f"({str(low).lower()}, {i if i < 10 else i - 10}, '{k}', [{listed(contract.SHORT_TYPES[t] for t in types.split())}])" for i, (k, _f, _h, low, types) in enumerate(contract.PROFILES))
+_PROFILES = ", ".join(f"({str(low).lower()}, {i if i < 10 else i - 10}, '{k}', [{listed(types)}])" for i, (k, _f, _h, low, types) in enumerate(contract.PROFILES))
 _KINDS = ", ".join(f"('{t}', {w})" for t, w in vocab.GOLD_WEIGHTS.items())
 _COVERAGE = next(b for b in contract.BRIEFS if b[0] == "coverage.")
 PLANS_SQL = f"""{CATALOG_SQL},
