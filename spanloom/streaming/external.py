@@ -25,8 +25,8 @@ def offline_client(requests: Sequence[str]) -> list[str]:
 def run_stage(requests: DataFrame, client: Client = offline_client, batch: int = 8, attempts: int = 3, check: Callable[[str], str | None] | None = None, corrections: int = 2) -> DataFrame:
     """Key, reply, error and calls for every request (key, payload).
 
-    A call that raises is tried again, then its batch fails as rows, not as a job. A
-    reply that ``check`` finds fault with is asked for again with that fault, at most
+    A call that raises is tried again; then the requests of its batch are asked one by
+    one, so that one bad request fails alone, and as a row, not as a job. A reply that ``check`` finds fault with is asked for again with that fault, at most
     ``corrections`` times.
     """
 
@@ -48,7 +48,11 @@ def run_stage(requests: DataFrame, client: Client = offline_client, batch: int =
             for i in range(0, len(frame), batch):
                 part = frame.iloc[i : i + batch]
                 replies, error, calls = ask(part["payload"].tolist())
-                for key, payload, reply in zip(part["key"], part["payload"], replies):
+                errors, counts = [error] * len(part), [calls] * len(part)
+                if error and len(part) > 1:
+                    alone = [ask([p]) for p in part["payload"]]
+                    replies, errors, counts = [r[0] for r, _, _ in alone], [e for _, e, _ in alone], [calls + c for _, _, c in alone]
+                for key, payload, reply, error, calls in zip(part["key"], part["payload"], replies, errors, counts):
                     fault = check(reply) if check and reply is not None else None
                     for _ in range(corrections):
                         if not fault:

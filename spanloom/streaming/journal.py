@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.postprocess import latest
+from ..sources import files
 
 
 def replay(journal: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
@@ -39,9 +41,11 @@ def state_of(spark: SparkSession, state: str, schema: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, state: str) -> list[int]:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{state}/v=*/_SUCCESS")
-    return sorted(int(f.getPath().getParent().getName()[2:]) for f in path.getFileSystem(conf).globStatus(path) or [])
+    """The versions of a state table that are complete."""
+    store, inner = files.file_system(state)
+    found = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    names = [f.base_name for f in found if f.base_name.startswith("v=")]
+    return sorted(int(n[2:]) for n in names if files.exists(f"{state.rstrip('/')}/{n}/_SUCCESS"))
 
 
 def compact(spark: SparkSession, path: str, out: str, schema: str, key: str = "key", seq: str = "seq") -> None:

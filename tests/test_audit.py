@@ -297,3 +297,16 @@ def test_lexicon_guard_searches_the_whole_lexicon(spark, sf):
         want[r["doc_id"]] = min(12, len(taken))
     got = {r["doc_id"]: r["hits"] for r in core.QUERIES["lexicon_guard"](spark, sf).collect()}
     assert got == want
+
+
+def test_one_bad_request_fails_alone(spark):
+    rows = spark.createDataFrame([(str(i), "p" * i) for i in range(20)], "key string, payload string")
+
+    def client(payloads):
+        if any(len(p) == 13 for p in payloads):
+            raise RuntimeError("down")
+        return [p.upper() for p in payloads]
+
+    got = {r.key: r for r in external.run_stage(rows.coalesce(1), client, batch=8).collect()}
+    assert got["13"].reply is None and "down" in got["13"].error
+    assert all(got[str(i)].reply == "P" * i and got[str(i)].error is None for i in range(20) if i != 13)
