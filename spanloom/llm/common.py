@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import sys
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,12 +117,33 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
 
 
+#: The folders of steps that this process wrote.
+_STEPS: list[str] = []
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a step as a table in the shared folder and read it back; cuts the lineage."""
+    """Write a step as a table in the shared folder and read it back; cuts the lineage.
+
+    Results read steps lazily, so steps stay until ``clean_up`` or the end of the driver's process.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_folder(spark)
+    _STEPS.append(folder)
+    df.write.parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def clean_up() -> None:
+    """Delete the steps that this process wrote, on file systems that pyarrow reaches; results not yet read are lost."""
+    while _STEPS:
+        try:
+            store, inner = fs.FileSystem.from_uri(_STEPS.pop())
+            store.delete_dir(inner)
+        except (OSError, ValueError, pa.ArrowException):
+            continue
+
+
+atexit.register(clean_up)
 
 
 def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
