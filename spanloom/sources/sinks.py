@@ -74,11 +74,11 @@ def write_corrected(records: DataFrame, changed: DataFrame, path: str) -> None:
     own.select("source", "id", app_entities(F.col("entities")).alias("entities")).write.mode("overwrite").partitionBy("source").json(f"{path}/labels")
 
 
-def write_occurrence_csv(rows: DataFrame, path: str) -> None:
-    """K6: seven columns; commas in values become spaces."""
+def write_occurrence_csv(rows: DataFrame, path: str, one_file: bool = False) -> None:
+    """K6: seven columns; commas in values become spaces. ``one_file`` is for reports of a size that one task can write."""
     clean = lambda c: F.translate(c, ",", " ").alias(c)
     out = rows.select(clean("file"), clean("surface"), clean("type"), "occurrence_count", "selected_count", "omitted_count", "covered_count")
-    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).csv(path)
 
 
 def markdown_report(flags: DataFrame, show: int = 25) -> str:
