@@ -163,8 +163,9 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "tok
 
     vocabulary: path of a byte-level BPE file of the tokenizers library, present on
     every executor. A null or empty text has no ids (an empty binary). Rows are
-    independent: repeated rows give repeated results, an empty table an empty one.
-    A column that already has the name ``ids`` is replaced.
+    independent: repeated rows give repeated results, an empty table an empty one. A very
+    long text is encoded whole, as one part; others share parts of ``vec.CHUNK_BYTES``.
+    A column that already has the name ``ids`` is replaced, others may have any name.
     """
 
     def run(column):

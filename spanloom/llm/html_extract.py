@@ -579,8 +579,8 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     Character references are decoded, white space inside a block becomes one space,
     blocks are joined in page order by one space. A null or empty page has no text;
     pages without a host share one template of their own. Repeated rows get the
-    same text each; an empty table gives an empty one. A column that already has
-    the name ``out`` is replaced.
+    same text each; a very long page is read whole; an empty table gives an empty one. A
+    column that already has the name ``out`` is replaced, others may have any name.
     """
     limit_batches(pages.sparkSession)
     found = template_texts(materialise(templates(pages.select(F.col(quoted(url)).alias("url"), F.col(quoted(page)).alias("html"))), "template"))

@@ -298,7 +298,8 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
 
     A text that is null or has no letter gets ``und`` and score 0, as does every
     text if the model is empty. Rows are independent: repeated rows give repeated
-    results, an empty table an empty one. Columns with these names are replaced.
+    results, an empty table an empty one. A very long text counts whole; ties between
+    languages go to the first by name. Columns with these names are replaced.
     ``typical`` names a further column: whether the n-grams of the text are those of
     some language's sample. The score only compares languages with each other, so a
     text in none of them can score high.

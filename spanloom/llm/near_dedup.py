@@ -362,8 +362,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     text_id: the smallest id with the same words; class_id: the smallest id that is
     connected with it by links of similarity ``least`` or more between texts. A text
     without words, null included, is linked with nothing and is a class of its own.
-    A text of fewer words than a shingle is one shingle. Rows that share an id are
-    one document. A row with a null id has no class. An empty table gives an empty
+    A text of fewer words than a shingle is one shingle; a very long one is taken whole.
+    Rows that share an id are one document. A row with a null id has no class. An empty table gives an empty
     one. No other column is read.
     """
     limit_batches(docs.sparkSession)

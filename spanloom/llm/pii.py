@@ -99,7 +99,8 @@ def detect(docs: DataFrame, kinds: Sequence[Kind] = KINDS, text: str = "text", o
 
     Offsets count code points, ends are exclusive. A null or empty text has no
     hits. Rows are independent: repeated rows give repeated results, an empty
-    table an empty one. Columns that already have these names are replaced.
+    table an empty one. A very long text is searched whole, in time linear in its length but
+    for its hits. Columns that already have these names are replaced.
     """
     t = F.coalesce(F.col(quoted(text)), F.lit(""))
     names = {f"{out}_{k.name}" for k in kinds}

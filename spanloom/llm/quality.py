@@ -140,7 +140,7 @@ def assess(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", o
 
     A null or empty text has zero counts and fails ``too_short`` only. Rows are
     independent of each other; repeated rows give repeated results and an empty
-    table an empty one. A column that already has the name ``out`` is replaced.
+    table an empty one. A very long text is measured whole. A column that already has the name ``out`` is replaced.
     """
     kept = [F.col(quoted(c)) for c in docs.columns if c != out]
     found = docs.select(*kept, measures(F.col(quoted(text))).alias("m" if "m" not in docs.columns else "m__spanloom"))

@@ -112,8 +112,9 @@ def scan(docs: DataFrame, text: str = "text", out: str = "secrets", keep: list[s
 
     Offsets count code points, ends are exclusive. A null or empty text has no
     spans. Parts are linked within one text only: its rows are told apart by all
-    kept columns' row, so repeated rows each get their own full result. An empty
-    table gives an empty one; columns that already have these names are replaced.
+    kept columns' row, so repeated rows each get their own full result. A very long text is
+    searched whole. An empty table gives an empty one; columns that already have these
+    names are replaced, others may have any name.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (out, f"{out}_base")]
     t = F.coalesce(F.col(quoted(text)), F.lit(""))
