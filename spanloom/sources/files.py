@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import sys
 import tempfile
 import uuid
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The scratch folders of this process.
+_FOLDERS: list[str] = []
+
+
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     if path.startswith("file:") and not path.startswith("file://"):
@@ -60,7 +65,21 @@ def scratch(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spanloom-")
-    return f"{root.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{root.rstrip('/')}/spanloom-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def clean_up() -> None:
+    """Delete the scratch folders that this process made; results not yet read from them are lost."""
+    while _FOLDERS:
+        try:
+            store, inner = file_system(_FOLDERS.pop())
+            store.delete_dir(inner)
+        except (OSError, ValueError, pa.ArrowException):
+            continue
+
+
+atexit.register(clean_up)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
