@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 from collections.abc import Sequence
 
 import numpy as np
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import give_back, map_columns, worker_cache
-from .vec import row_chunks, utf8_column
+from .vec import row_chunks, utf8_column, word_hashes
 
 #: Bytes of encoded fragments that a worker remembers (in each of two halves), and the longest of them.
-TABLE_BYTES, LONGEST = 8 << 20, 48
-#: What an entry takes besides its own bytes.
-ENTRY_BYTES = 200
+TABLE_BYTES, LONGEST = 16 << 20, 48
+#: What an entry takes besides its own bytes, and bytes of text that are encoded together.
+ENTRY_BYTES, PART_BYTES = 200, 1 << 19
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -130,27 +131,69 @@ def certain_cuts(data: np.ndarray, offsets: np.ndarray, forced: np.ndarray, spec
     return np.flatnonzero(cut)
 
 
-def encode_rows(data: np.ndarray, offsets: np.ndarray, vocabulary: dict) -> list[bytes]:
-    """The ids of each row's text as little-endian unsigned 32-bit integers."""
+def distinct_fragments(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct fragment, and for each fragment which of them it is.
+
+    Fragments are grouped by hash, and every one is compared with the first of its group.
+    """
+    _, place, which = np.unique(word_hashes(part, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    same = size == size[place][which]
+    if same.all():
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        equal = part[at + np.repeat(starts, size)] == part[at + np.repeat(starts[place][which], size)]
+        if equal.all():
+            return place, which
+        same = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+    # hashes that fail: these fragments stand for themselves
+    odd = np.flatnonzero(~same)
+    which = which.copy()
+    which[odd] = len(place) + np.arange(len(odd))
+    return np.concatenate([place, odd]), which
+
+
+def encode_column(data: np.ndarray, offsets: np.ndarray, vocabulary: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows' texts, and the first id of each row (n + 1 long)."""
     known, tokenizer = vocabulary["known"], vocabulary["tokenizer"]
-    out: list[bytes] = []
-    for a, b in row_chunks(offsets):
+    special = list(vocabulary["special"])
+    out, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+    for a, b in row_chunks(offsets, PART_BYTES):
         own = offsets[a : b + 1] - offsets[a]
         part = data[offsets[a] : offsets[b]]
-        cuts = certain_cuts(part, own, vocabulary["forced"], list(vocabulary["special"]))
-        raw, at = part.tobytes(), cuts.tolist()
-        fragments = [raw[i:j] for i, j in zip(at, at[1:])]
+        cuts = certain_cuts(part, own, vocabulary["forced"], special)
+        if len(cuts) < 2:
+            counts.append(np.zeros(b - a, np.int64))
+            continue
+        place, which = distinct_fragments(part, cuts[:-1], cuts[1:])
+        raw = part.tobytes()
+        fragments = [raw[i:j] for i, j in zip(cuts[place].tolist(), cuts[place + 1].tolist())]
         ids, missing = known.look_up(fragments)
         if missing:
             new = list(missing)
-            coded = tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False)
-            fresh = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(new, coded)}
+            coded = tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
+            fresh = {x: struct.pack(f"<{len(i)}I", *i) for x, i in zip(new, (e.ids for e in coded))}
             ids = [fresh[f] if x is None else x for f, x in zip(fragments, ids)]
             for f, x in fresh.items():
                 known.add(f, x)
-        first = np.searchsorted(cuts, own).tolist()
-        out.extend(b"".join(ids[i:j]) for i, j in zip(first, first[1:]))
-    return out
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(n) - n
+        each = n[which]
+        before = np.concatenate([[0], np.cumsum(each)])
+        out.append(flat[np.arange(int(before[-1])) - np.repeat(before[:-1], each) + np.repeat(first[which], each)])
+        counts.append(np.diff(before[np.searchsorted(cuts, own)]))
+    return np.concatenate(out), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
+
+
+def binary_rows(ids: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Each row's ids as little-endian unsigned 32-bit integers."""
+    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer((4 * first).astype(np.int64).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+    return made.cast(pa.binary())
+
+
+def encode_rows(data: np.ndarray, offsets: np.ndarray, vocabulary: dict) -> list[bytes]:
+    """The ids of each row's text as little-endian unsigned 32-bit integers."""
+    return binary_rows(*encode_column(data, offsets, vocabulary)).to_pylist()
 
 
 def decode_ids(ids: bytes, pieces: list[bytes]) -> str:
@@ -164,12 +207,12 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "tok
     vocabulary: path of a byte-level BPE file of the tokenizers library, present on
     every executor. A null or empty text has no ids (an empty binary). Rows are
     independent: repeated rows give repeated results, an empty table an empty one. A very
-    long text is encoded whole, as one part; others share parts of ``vec.CHUNK_BYTES``.
+    long text is encoded whole, as one part; others share parts of ``PART_BYTES``.
     A column that already has the name ``ids`` is replaced, others may have any name.
     """
 
     def run(column):
-        return [pa.array(encode_rows(*utf8_column(column), load_vocabulary(vocabulary)), pa.binary())]
+        return [binary_rows(*encode_column(*utf8_column(column), load_vocabulary(vocabulary)))]
 
     return map_columns(docs, run, [text], [T.StructField(ids, T.BinaryType())], docs.columns if keep is None else keep)
 
@@ -189,8 +232,8 @@ def round_trip(docs: DataFrame, vocabulary: str, text: str = "text", keep: Seque
 
     def run(column):
         loaded = load_vocabulary(vocabulary)
-        ids = encode_rows(*utf8_column(column), loaded)
-        return [pa.array(ids, pa.binary()), pa.array([decode_ids(x, loaded["pieces"]) for x in ids], pa.string())]
+        ids = binary_rows(*encode_column(*utf8_column(column), loaded))
+        return [ids, pa.array([decode_ids(x, loaded["pieces"]) for x in ids.to_pylist()], pa.string())]
 
     fields = [T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
     return map_columns(docs, run, [text], fields, docs.columns if keep is None else keep)
