@@ -63,10 +63,14 @@ def lint(records: DataFrame) -> DataFrame:
     Adjacent spans in order of place that share a character are nested or overlap.
     """
     base = records.select("id", "text", "entities", token_bounds(tokens(F.col("text"))).alias("b"))
-    rows = base.select("id", "text", "b", F.explode("entities").alias("e"))
-    tagged = rows.select("id", "text", "e", F.explode(lint_tags(F.col("text"), F.col("e"), F.col("b.starts"), F.col("b.ends"))).alias("t"))
-    detail = marked_context(F.col("text"), F.greatest(F.lit(0), F.col("e.start")), F.greatest(F.col("e.start"), F.col("e.end")))
-    own = tagged.select("t.grp", "t.tag", F.col("id").alias("file"), "e.start", "e.end", detail.alias("detail"))
+
+    def flags(e: Column) -> Column:
+        # the text and its token edges stay in their row; only flags become rows
+        detail = marked_context(F.col("text"), F.greatest(F.lit(0), e["start"]), F.greatest(e["start"], e["end"]))
+        made = lambda t: F.struct(t["grp"].alias("grp"), t["tag"].alias("tag"), e["start"].alias("start"), e["end"].alias("end"), detail.alias("detail"))
+        return F.transform(lint_tags(F.col("text"), e, F.col("b.starts"), F.col("b.ends")), made)
+
+    own = base.select("id", F.explode(F.flatten(F.transform("entities", flags))).alias("x")).select("x.grp", "x.tag", F.col("id").alias("file"), "x.start", "x.end", "x.detail")
     pairs = overlap_flags(records.select("id", F.explode("entities").alias("e")).select(F.col("id").alias("file"), "e.start", "e.end", "e.type", "e.text"))
     made = pairs.select(F.lit("overlap").alias("grp"), "tag", "file", "start", "end", F.col("text").alias("detail"))
     twice = records.select("id", F.explode("entities").alias("e")).groupBy(F.col("id").alias("file"), F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.col("e.type").alias("type"))

@@ -22,6 +22,7 @@ from .plans import jobs
 from .oracles import TOKENS_SQL, spans_sql
 from .oracles import WORD as _WORD
 from .oracles import WS as _WS
+from .sources import files
 from .streaming import external, journal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,7 +454,10 @@ def span_overlap_pairs(spark, sf_dir):
 @query(oracles.LINT)
 def span_lint(spark, sf_dir):
     """V1, L3: lint flags of records with planted faults, with counts."""
-    flags = stats.lint(faulty_records(spark, sf_dir))
+    # written once: lint reads the records for tags, for neighbours and for duplicates
+    at = f"{files.scratch(spark)}/records"
+    faulty_records(spark, sf_dir).write.parquet(at)
+    flags = stats.lint(spark.read.parquet(at))
     return flags.groupBy("grp", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
