@@ -11,6 +11,7 @@ from ..functions import vocab
 from ..functions.core import empty, let, piece
 from ..functions.cues import conflict, support
 from ..functions.text import context, headings, leading_negation, nearest_heading, strip
+from ..sources import files
 from .stats import type_majority, type_minority
 
 CONTEXT = 400
@@ -305,9 +306,11 @@ def numbered(rows: DataFrame, order: str, name: str = "doc", width: int = 3) ->
 
     Rows are sorted by ranges; a number is its place in its range behind the sizes of the
     ranges before, so no task sees all rows. Equal values are told apart by their digest.
+    The sorted rows are written once: sorted anew, the ranges, which Spark draws from a
+    sample, have other bounds.
     """
     tie = F.sha2(F.to_json(F.struct(*rows.columns)), 256)
-    placed = rows.orderBy(order, tie).withColumn("at__n", F.monotonically_increasing_id())
+    placed = files.written(rows.orderBy(order, tie).withColumn("at__n", F.monotonically_increasing_id()))
     part, place = F.shiftright("at__n", 33), F.col("at__n").bitwiseAND(F.lit((1 << 33) - 1))
     before, items = 0, []
     for r in sorted(placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):

@@ -69,6 +69,13 @@ def scratch(spark: SparkSession) -> str:
     return _FOLDERS[-1]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of a step, written once as a table in a fresh shared folder and read from there."""
+    at = scratch(df.sparkSession)
+    df.write.parquet(f"{at}/step")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/step")
+
+
 def clean_up() -> None:
     """Delete the scratch folders that this process made; results not yet read from them are lost."""
     while _FOLDERS:
