@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vocab
+from ..functions import arrow, vocab
 from ..functions.core import empty, let
-from ..functions.spans import bio_spans
 from ..functions.text import WS, strip
 
 SPAN = "struct<text:string,start:int,end:int,type:string,assertions:array<string>>"
@@ -152,11 +151,9 @@ def official_score(rows: DataFrame) -> DataFrame:
 
 def tag_scores(rows: DataFrame) -> DataFrame:
     """Exact-span P/R/F of tag sequences (id, gold_tags, pred_tags) by type and over all."""
-    spans = lambda c: F.transform(bio_spans(F.col(c)), lambda s: F.struct(s["first"], s["last"], s["type"]))
-    both = rows.select(spans("gold_tags").alias("g"), spans("pred_tags").alias("p"))
-    sides = both.select(F.explode(F.array(F.struct(F.lit("gold").alias("side"), F.col("g").alias("s")), F.struct(F.lit("pred").alias("side"), F.col("p").alias("s")), F.struct(F.lit("tp").alias("side"), F.array_intersect("g", "p").alias("s")))).alias("x"))
-    items = sides.select("x.side", F.explode("x.s").alias("s")).select("side", F.col("s.type").alias("key"))
-    counted = items.groupBy("key").agg(*[F.count_if(F.col("side") == c).alias(c) for c in ("tp", "pred", "gold")])
+    arrow.limit_batches()
+    found = rows.select("gold_tags", "pred_tags").mapInArrow(arrow.tag_counts, "key string, tp long, pred long, gold long")
+    counted = found.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("tp", "pred", "gold")]).filter("pred + gold > 0")
     total = counted.agg(*[F.sum(c).alias(c) for c in ("tp", "pred", "gold")]).select(F.lit("all").alias("key"), "tp", "pred", "gold")
     return counted.unionByName(total).select("*", *prf(F.col("tp"), F.col("pred"), F.col("gold")))
 
