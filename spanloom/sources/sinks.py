@@ -86,7 +86,7 @@ def markdown_report(flags: DataFrame, show: int = 25) -> str:
     from ..operators.stats import lint_summary
 
     lines, last = ["# Lint report"], None
-    for r in lint_summary(flags, show).orderBy("grp", "tag", "rank").toLocalIterator():
+    for r in sorted(lint_summary(flags, show).collect(), key=lambda r: (r["grp"], r["tag"], r["rank"])):
         if (r["grp"], r["tag"]) != last:
             last = (r["grp"], r["tag"])
             lines += ["", f"## {r['grp']} / {r['tag']}: {r['n']}", ""]
