@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.arrow import line_tokens
+from ..functions.arrow import hash_ints, line_tokens
 from ..functions.core import empty, hash_unit, let, piece
-from ..functions.text import TOKENS, WS, nearest_header, tokens
+from ..functions.text import TOKENS, WS, header_lines, nearest_header, tokens
 
 SIZE, OVERLAP, CONTEXT, LINE_SIZE = 180, 45, 32, 110
 #: Words that the chunk packer folds at a time.
@@ -33,30 +33,50 @@ def sliding_windows(notes: DataFrame, size: int = SIZE, overlap: int = OVERLAP,
     the nearest header line come first unless they stand in the prefix or window
     already. ``bare`` adds the prefix without header. Texts without tokens have no window.
     """
-    rows = notes.select(F.col(id).alias("id"), F.col(text).alias("text"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks"))
-    rows = rows.select("id", "text", "toks", F.posexplode(window_starts(F.size("toks"), size, overlap)).alias("w", "word_start"))
-    rows = rows.withColumn("content", F.slice("toks", F.col("word_start") + 1, F.lit(size)))
-    from_ = F.greatest(F.lit(0), F.col("word_start") - context)
-    rows = rows.withColumn("prefix", F.slice("toks", from_ + 1, F.col("word_start") - from_))
-    rows = rows.withColumn("char_start", F.col("content")[0]["s"]).withColumn("char_end", F.element_at("content", -1)["e"]).withColumn("bare", F.col("prefix"))
-    if header:
-        line = nearest_header(F.col("text"), F.col("char_start"))
-        words = lambda c: F.transform(c, lambda t: t["tok"])
-
-        def shown(head: Column) -> Column:
-            k = F.size(head)
-            seen = F.concat(words(F.col("prefix")), words(F.col("content")))
-            visible = let(
-                F.struct(seen.alias("seen"), words(head).alias("head")),
-                lambda x: (k > 0) & F.exists(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(x["seen"]) - k)), lambda i: F.slice(x["seen"], i + 1, k) == x["head"]),
-            )
-            return F.when((k == 0) | visible, F.col("prefix")).otherwise(F.concat(head, F.col("prefix")))
-
-        rows = rows.withColumn("head", F.when(line.isNull(), empty(TOKENS)).otherwise(tokens(line)))
-        rows = rows.withColumn("prefix", shown(F.col("head"))).drop("head")
+    rows = _window_rows(notes.withColumnsRenamed({id: "id", text: "text"}) if (id, text) != ("id", "text") else notes, size, overlap, context, header)
     return rows.select("id", "w", "word_start", "char_start", "char_end", "prefix", "content", *(["bare"] if bare else []))
 
 
+def _window_rows(notes: DataFrame, size: int, overlap: int, context: int, header: bool, keep: tuple[str, ...] = (), spans: str | None = None) -> DataFrame:
+    """``sliding_windows`` of (id, text) with ``bare``, the columns ``keep``, and of ``spans`` those within the window's characters.
+
+    Windows are cut in the row of their note: texts, tokens and spans of the whole note are not repeated for each.
+    """
+    rows = notes.select("id", *keep, *([spans] if spans else []), "text", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("toks"))
+    rows = rows.withColumn("lines", header_lines(F.col("text")) if header else F.lit(None))
+
+    def window(start: Column) -> Column:
+        from_ = F.greatest(F.lit(0), start - context)
+        own = F.struct(start.alias("word_start"), F.slice("toks", from_ + 1, start - from_).alias("prefix"), F.slice("toks", start + 1, F.lit(size)).alias("content"))
+
+        def placed(x: Column) -> Column:
+            s, e = x["content"][0]["s"], F.element_at(x["content"], -1)["e"]
+            more = [nearest_header(F.col("text"), s, F.col("lines")).alias("line")] if header else []
+            more += [F.filter(spans, lambda y: (y["start"] >= s) & (y["end"] <= e)).alias(spans)] if spans else []
+            return F.struct(*[x[c].alias(c) for c in ("word_start", "prefix", "content")], s.alias("char_start"), e.alias("char_end"), *more)
+
+        return let(own, placed)
+
+    # explode alone would have its input made once more, to filter out notes without windows
+    made = F.posexplode_outer(F.transform(window_starts(F.size("toks"), size, overlap), window)).alias("w", "x")
+    rows = rows.select("id", *keep, made).filter("w IS NOT NULL").select("id", "w", *keep, "x.*").withColumn("bare", F.col("prefix"))
+    if not header:
+        return rows
+    words = lambda c: F.transform(c, lambda t: t["tok"])
+
+    def shown(head: Column) -> Column:
+        k = F.size(head)
+        seen = F.concat(words(F.col("prefix")), words(F.col("content")))
+        visible = let(
+            F.struct(seen.alias("seen"), words(head).alias("head")),
+            lambda x: (k > 0) & F.exists(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(x["seen"]) - k)), lambda i: F.slice(x["seen"], i + 1, k) == x["head"]),
+        )
+        return F.when((k == 0) | visible, F.col("prefix")).otherwise(F.concat(head, F.col("prefix")))
+
+    rows = rows.withColumn("head", F.coalesce(tokens(F.col("line")), empty(TOKENS)))
+    return rows.withColumn("prefix", shown(F.col("head"))).drop("head", "line")
+
+
 def units(line: Column, most: int) -> Column:
     """A line's tokens as units of at most ``most``: packed sentences, else clauses, else hard cuts."""
     kind = f"array<{TOKENS}>"
@@ -163,20 +183,20 @@ def uncovered(entities: DataFrame, windows: DataFrame, bin: int = 1024) -> DataF
     return entities.join(held.select("id", "start", "end").distinct(), ["id", "start", "end"], "left_anti")
 
 
-def training_rows(records: DataFrame, seed: int = 7, o_keep: float = 0.35, header_dropout: float = 0.35, empty_keep: float = 0.5, **args) -> DataFrame:
-    """D9 rows of records (id, text, entities, genre, source, record_kind).
+def training_rows(records: DataFrame, seed: int = 7, o_keep: float = 0.35, header_dropout: float = 0.35, empty_keep: float = 0.5, size: int = SIZE, overlap: int = OVERLAP, context: int = CONTEXT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """D9 rows of records (id, text, entities, genre, source, record_kind), with the columns ``keep`` of their record.
 
     BIO tags and span list per window; loss 0 on the prefix, 1 on entity tokens and
     on a share ``o_keep`` of the others; headers go at ``header_dropout`` and windows
     without entity at 1 - ``empty_keep``. Draws are hashes of seed, record, window and place.
     """
-    ws = sliding_windows(records, header=True, bare=True, **args)
+    kept = ("genre", "source", "record_kind", *[c for c in keep if c not in ("genre", "source", "record_kind")])
+    rows = _window_rows(records, size, overlap, context, True, kept, "entities")
     # the header of the same window is left out at random
     drop = hash_unit(F.lit(seed), F.col("id"), F.col("w"), F.lit("header")) < header_dropout
-    ws = ws.withColumn("prefix", F.when(drop, F.col("bare")).otherwise(F.col("prefix"))).drop("bare")
-    rows = ws.join(records.select("id", "entities", "genre", "source", "record_kind"), "id")
+    rows = rows.withColumn("prefix", F.when(drop, F.col("bare")).otherwise(F.col("prefix"))).drop("bare")
     # only entities within the window are looked up among its tokens
-    near = F.filter("entities", lambda e: (e["start"] >= F.col("char_start")) & (e["end"] <= F.col("char_end")))
+    near = F.col("entities")
     own = F.filter(
         F.transform(near, lambda e: F.struct(word_span(F.col("content"), e["start"], e["end"]).alias("ws"), e.alias("e"))),
         lambda x: x["ws"].isNotNull(),
@@ -195,10 +215,10 @@ def training_rows(records: DataFrame, seed: int = 7, o_keep: float = 0.35, heade
         F.lit("O"),
     )
     tags = F.transform(F.sequence(F.lit(0), n - 1), tag)
-    kept = lambda t, i: F.when((t != "O") | (hash_unit(F.lit(seed), F.col("id"), F.col("w"), i) < o_keep), 1).otherwise(0)
+    loss = lambda t, h: F.when((t != "O") | (h / F.lit(4294967295.0) < o_keep), 1).otherwise(0)
     flags = lambda e: F.array(*[F.array_contains(e["assertions"], a).cast("int") for a in vocab.ASSERTIONS])
     # drawn before the id is replaced, which a lambda in the same projection would see
-    rows = rows.withColumn("tags", tags).withColumn("mask", F.transform("tags", kept))
+    rows = rows.withColumn("tags", tags).withColumn("draws", hash_ints(F.concat_ws(":", F.lit(str(seed)), "id", F.col("w").cast("string")), n)).withColumn("mask", F.zip_with("tags", "draws", loss))
     spans = F.transform(
         "own",
         lambda x: F.struct(
@@ -219,9 +239,7 @@ def training_rows(records: DataFrame, seed: int = 7, o_keep: float = 0.35, heade
         F.concat(F.array_repeat(F.lit("O"), F.col("n_prefix")), F.col("tags")).alias("ner_tags"),
         F.concat(F.array_repeat(F.lit(0), F.col("n_prefix")), F.col("mask")).alias("token_loss_mask"),
         spans.alias("spans"),
-        "genre",
-        "source",
-        "record_kind",
+        *kept,
     )
 
 

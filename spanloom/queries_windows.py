@@ -11,6 +11,7 @@ from .operators import match, split, windows
 from .oracles import GOLD_SQL, TOK, TOKENS_SQL, WS, hashed, listed
 from .plans import jobs
 from .queries import query, read, records
+from .sources import files
 
 # --- section windows
 
@@ -115,7 +116,9 @@ def bio_rows(spark, sf_dir):
     """Training rows of windows, with their tag and loss counts and drawn negative spans."""
     rows = windows.training_rows(records(spark, sf_dir))
     places = F.transform("spans", lambda s: F.struct(s["start"].alias("first"), s["end"].alias("last")))
-    return rows.select("id", F.size("tokens").alias("n_tokens"), "n_prefix", F.size(F.filter("ner_tags", lambda t: t != "O")).alias("tagged"), F.aggregate("token_loss_mask", F.lit(0), lambda s, x: s + x).alias("counted"), F.size("spans").alias("n_spans"), F.size(negative_spans(F.size("tokens"), places, F.col("id"))).alias("negatives"))
+    slim = rows.select("id", F.size("tokens").alias("n_tokens"), "n_prefix", F.size(F.filter("ner_tags", lambda t: t != "O")).alias("tagged"), F.aggregate("token_loss_mask", F.lit(0), lambda s, x: s + x).alias("counted"), F.size("spans").alias("n_spans"), places.alias("places"))
+    slim = files.written(slim)  # Spark fails to take the draws out of a plan that holds the windows' expressions in their arguments
+    return slim.withColumn("negatives", F.size(negative_spans(F.col("n_tokens"), F.col("places"), F.col("id")))).drop("places")
 
 
 _PART = f"CASE WHEN {hashed('doc_id::VARCHAR')} / 4294967295.0 < 0.05 THEN 'test' WHEN {hashed('doc_id::VARCHAR')} / 4294967295.0 < 0.1 THEN 'val' ELSE 'train' END"
