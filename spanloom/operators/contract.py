@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.core import empty, hash_int, hash_unit, let, piece
+from ..functions.core import cut, empty, hash_int, hash_unit, let, n_points, points
 from ..functions.cues import cue_errors, evidence_supports, repaired
 from ..functions.spans import high_precision, lexicon_hits, overlaps, surface_conflicts, surface_safe
-from ..functions.text import LAYOUT_FROM, LEADING_NEGATION, MAX_SHORT, MIN_SHORT, WS, has_table, is_word_bounded, layout, measurements, natural_heading, occurrences, parse_marks, strip
+from ..functions.text import LAYOUT_FROM, LEADING_NEGATION, MAX_SHORT, MIN_SHORT, WS, cuts_no_word, has_table, is_word_bounded, layout, measurements, natural_heading, occurrences, parse_marks, strip
 from .split import weighted_choice, weighted_order
 
 # Caps of a batch, rates of covered, empty, repeated and omitted occurrences, weight of a document's bias.
@@ -528,14 +528,13 @@ def draft_distribution(drafts: DataFrame) -> DataFrame:
 
 def validate_labels(rows: DataFrame) -> DataFrame:
     """Errors of review labels (id, text, entities): the lint checks and word edges."""
-    text = F.col("text")
 
-    def of(e: Column) -> Column:
-        fits = F.coalesce((e["start"] >= 0) & (e["start"] < e["end"]) & (e["end"] <= F.length(text)), F.lit(False))
+    def of(p: Column, e: Column) -> Column:
+        fits = F.coalesce((e["start"] >= 0) & (e["start"] < e["end"]) & (e["end"] <= n_points(p)), F.lit(False))
         checks = [
             (~fits, "bad_position"),
-            (fits & (piece(text, e["start"], e["end"]) != e["text"]), "text_mismatch"),
-            (fits & ~is_word_bounded(text, e["start"], e["end"]), "cut_word"),
+            (fits & (cut(p, e["start"], e["end"]) != e["text"]), "text_mismatch"),
+            (fits & ~cuts_no_word(p, e["start"], e["end"]), "cut_word"),
             (~F.coalesce(e["type"].isin(list(vocab.TYPES)), F.lit(False)), "bad_type"),
             (F.size(F.array_except(e["assertions"], F.array(*[F.lit(a) for a in vocab.ASSERTIONS]))) > 0, "bad_assertion"),
             ((F.size(e["assertions"]) > 0) & ~e["type"].isin(list(vocab.ASSERTION_TYPES)), "assertion_on_type"),
@@ -545,7 +544,7 @@ def validate_labels(rows: DataFrame) -> DataFrame:
 
     order = F.array_sort(F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))))
     clash = let(order, neighbours_overlap)
-    errors = F.concat(F.flatten(let(F.col("entities"), lambda es: F.transform(es, of))), F.when(clash, F.array(F.lit("overlap"))).otherwise(empty("array<string>")))
+    errors = F.concat(F.flatten(let(points(F.col("text")), lambda p: F.transform("entities", lambda e: of(p, e)))), F.when(clash, F.array(F.lit("overlap"))).otherwise(empty("array<string>")))
     return rows.select("id", errors.alias("errors"))
 
 

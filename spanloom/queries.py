@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .functions import arrow, vocab
-from .functions.core import empty, hash_int, let, piece
+from .functions.core import cut, empty, hash_int, let, n_points, piece, points
 from .functions.cues import clause_before, conflict, support
 from .functions.spans import bio_spans, clean_entities, keep_longest, lexicon_hits, negative_spans, suppress
 from .functions.text import align_words, collapse_runs, layout, marked_context, nfc, occurrences, parse_marks, sentence_breaks, shingles, tokens, trim_span, word_count
@@ -75,11 +75,16 @@ def with_spans(spark: SparkSession, sf_dir: str, seed: str = "g") -> DataFrame:
 
 def entity_array(text: Column, spans: Column) -> Column:
     """Entities of derived spans; flag bits become assertions where the type takes them."""
+    return let(points(text), lambda p: entities_in(p, spans))
+
+
+def entities_in(made: Column, spans: Column) -> Column:
+    """``entity_array`` in the ``points`` of a text."""
 
     def one(x: Column) -> Column:
         marks = F.array_compact(F.array(*[F.when(F.floor(x["flags"] / (1 << k)) % 2 == 1, F.lit(a)) for k, a in enumerate(vocab.ASSERTIONS)]))
         marks = F.when(x["type"].isin(list(vocab.ASSERTION_TYPES)), marks).otherwise(empty("array<string>"))
-        return vocab.entity(piece(text, x["start"], x["end"]), x["start"], x["end"], x["type"], marks)
+        return vocab.entity(cut(made, x["start"], x["end"]), x["start"], x["end"], x["type"], marks)
 
     return F.transform(spans, one)
 
@@ -93,20 +98,20 @@ def records(spark: SparkSession, sf_dir: str, seed: str = "g") -> DataFrame:
 def faulty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose entities carry faults of every kind, by the confidence of the derived span."""
     rows = with_spans(spark, sf_dir)
-    text = F.col("text")
 
-    def one(x: Column, plain: Column) -> Column:
+    def one(p: Column, x: Column, plain: Column) -> Column:
         c = x["conf"] % 16
         s = F.when(c.isin(5, 7) & (x["start"] > 0), x["start"] - 1).otherwise(x["start"])
-        e = F.when(c == 2, x["end"] + 1000000).when((c == 7) & (x["start"] > 0), x["start"]).when(c == 8, F.least(x["end"] + 150, F.length(text))).otherwise(x["end"])
-        surface = F.when(c == 1, F.concat(plain["text"], F.lit("!"))).when(c.isin(5, 7, 8), piece(text, s, e)).otherwise(plain["text"])
+        e = F.when(c == 2, x["end"] + 1000000).when((c == 7) & (x["start"] > 0), x["start"]).when(c == 8, F.least(x["end"] + 150, n_points(p))).otherwise(x["end"])
+        surface = F.when(c == 1, F.concat(plain["text"], F.lit("!"))).when(c.isin(5, 7, 8), cut(p, s, e)).otherwise(plain["text"])
         kind = F.when(c == 0, "XX").when(c == 4, vocab.TEST).otherwise(x["type"])
         marks = F.when(c == 3, F.array_append(plain["assertions"], "isOdd")).when(c == 4, F.array(F.lit("isNegated"))).otherwise(plain["assertions"])
         candidates = F.when(c == 9, F.array(F.lit("K"))).otherwise(empty("array<string>"))
         made = vocab.entity(surface, s, e, kind, marks, candidates)
         return F.when(c == 6, F.array(made, made)).otherwise(F.array(made))
 
-    faults = let(F.struct(F.col("spans").alias("s"), entity_array(text, F.col("spans")).alias("e")), lambda x: F.flatten(F.zip_with(x["s"], x["e"], one)))
+    spans = F.col("spans")
+    faults = let(points(F.col("text")), lambda p: F.flatten(F.zip_with(spans, entities_in(p, spans), lambda x, plain: one(p, x, plain))))
     return rows.select(F.col("doc_id").cast("string").alias("id"), "text", faults.alias("entities"), F.lit("document").alias("record_kind"), "source", F.col("lang").alias("genre"))
 
 
