@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.core import empty, let, piece
+from ..functions.core import cut, empty, let, piece, points
 from ..functions.spans import drop_blocked, strip_spans
 from ..functions.text import WS, strip
 
@@ -48,31 +48,36 @@ def merge_runs(spans: DataFrame, gap: int = GAP, group: tuple[str, ...] = vocab.
 
 def merged_runs(text: Column, spans: Column, gap: int = GAP, group: tuple[str, ...] = vocab.DRUG_GROUP) -> Column:
     """``merge_runs`` of one note's array of spans: array<struct<start,end,type,n_merged,text>> in order of place."""
-    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["type"].alias("type"))))
+    return let(points(text), lambda p: runs_in(p, spans, gap, group))
+
+
+def runs_in(made: Column, spans: Column, gap: int = GAP, group: tuple[str, ...] = vocab.DRUG_GROUP) -> Column:
+    """``merged_runs`` in the ``points`` of a text."""
+    order = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["type"].alias("type"))))
 
     def runs(all_: Column) -> Column:
         def opens(i: Column) -> Column:
             def apart(pair: Column) -> Column:
                 x, y = pair["x"], pair["y"]
-                between = piece(text, x["end"], y["start"])
+                between = cut(made, x["end"], y["start"])
                 near = (y["start"] - x["end"] <= gap) & ((y["start"] <= x["end"]) | between.rlike(rf"\A[{WS}&&[^\n]]*\z"))
                 kin = (y["type"] == x["type"]) | (y["type"].isin(list(group)) & x["type"].isin(list(group)))
                 return ~(near & kin)
 
             return (i == 0) | let(F.struct(F.get(all_, i - 1).alias("x"), F.get(all_, i).alias("y")), apart)
 
-        def made(at: Column) -> Column:
+        def joined_at(at: Column) -> Column:
             def one(a: Column, j: Column) -> Column:
                 def joined(run: Column) -> Column:
                     first, last = run[0], F.element_at(run, -1)
                     mixed = F.exists(run, lambda x: x["type"] != first["type"])
-                    return F.struct(first["start"].alias("start"), last["end"].alias("end"), F.when(mixed, F.lit(group[0])).otherwise(first["type"]).alias("type"), F.size(run).alias("n_merged"), piece(text, first["start"], last["end"]).alias("text"))
+                    return F.struct(first["start"].alias("start"), last["end"].alias("end"), F.when(mixed, F.lit(group[0])).otherwise(first["type"]).alias("type"), F.size(run).alias("n_merged"), cut(made, first["start"], last["end"]).alias("text"))
 
                 return let(F.slice(all_, a + 1, F.coalesce(F.get(at, j + 1), F.size(all_)) - a), joined)
 
             return F.transform(at, one)
 
-        return let(F.filter(F.sequence(F.lit(0), F.size(all_) - 1), opens), made)
+        return let(F.filter(F.sequence(F.lit(0), F.size(all_) - 1), opens), joined_at)
 
     kind = "array<struct<start:int,end:int,type:string,n_merged:int,text:string>>"
     return F.when(F.size(spans) > 0, let(order, runs)).otherwise(empty(kind))
@@ -87,8 +92,14 @@ def mapped(spans: Column, table: dict[str, str] = vocab.LABEL_MAP) -> Column:
 
 def final(spans: Column) -> Column:
     """Of spans in order of place the first of each folded text and type."""
-    keyed = let(spans, lambda all_: F.struct(all_.alias("all"), F.transform(all_, lambda x: F.struct(F.lower(strip(x["text"])).alias("text"), x["type"].alias("type"))).alias("keys")))
-    return let(keyed, lambda k: F.filter(k["all"], lambda x, i: F.array_position(k["keys"], F.get(k["keys"], i)) == i + 1))
+    key = lambda x: F.struct(F.lower(strip(x["text"])).alias("text"), x["type"].alias("type"))
+
+    def firsts(all_: Column) -> Column:
+        keyed = F.sort_array(F.transform(all_, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+        own = let(keyed, lambda ks: F.filter(ks, lambda x, j: (j == 0) | ~F.get(ks, j - 1)["k"].eqNullSafe(x["k"])))
+        return F.transform(F.sort_array(F.transform(own, lambda x: x["i"])), lambda i: F.get(all_, i))
+
+    return let(spans, firsts)
 
 
 def latest(events: DataFrame, key: str, order: str) -> DataFrame:
