@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.arrow import hash_ints, line_tokens
-from ..functions.core import empty, hash_unit, let, piece
+from ..functions.arrow import line_tokens, training_windows
+from ..functions.core import empty, let, piece
 from ..functions.text import TOKENS, WS, header_lines, nearest_header, tokens
 
 SIZE, OVERLAP, CONTEXT, LINE_SIZE = 180, 45, 32, 110
@@ -37,12 +37,12 @@ def sliding_windows(notes: DataFrame, size: int = SIZE, overlap: int = OVERLAP,
     return rows.select("id", "w", "word_start", "char_start", "char_end", "prefix", "content", *(["bare"] if bare else []))
 
 
-def _window_rows(notes: DataFrame, size: int, overlap: int, context: int, header: bool, keep: tuple[str, ...] = (), spans: str | None = None) -> DataFrame:
-    """``sliding_windows`` of (id, text) with ``bare``, the columns ``keep``, and of ``spans`` those within the window's characters.
+def _window_rows(notes: DataFrame, size: int, overlap: int, context: int, header: bool) -> DataFrame:
+    """``sliding_windows`` of (id, text) with ``bare``.
 
-    Windows are cut in the row of their note: texts, tokens and spans of the whole note are not repeated for each.
+    Windows are cut in the row of their note: texts and tokens of the whole note are not repeated for each.
     """
-    rows = notes.select("id", *keep, *([spans] if spans else []), "text", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("toks"))
+    rows = notes.select("id", "text", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("toks"))
     rows = rows.withColumn("lines", header_lines(F.col("text")) if header else F.lit(None))
 
     def window(start: Column) -> Column:
@@ -52,14 +52,13 @@ def _window_rows(notes: DataFrame, size: int, overlap: int, context: int, header
         def placed(x: Column) -> Column:
             s, e = x["content"][0]["s"], F.element_at(x["content"], -1)["e"]
             more = [nearest_header(F.col("text"), s, F.col("lines")).alias("line")] if header else []
-            more += [F.filter(spans, lambda y: (y["start"] >= s) & (y["end"] <= e)).alias(spans)] if spans else []
             return F.struct(*[x[c].alias(c) for c in ("word_start", "prefix", "content")], s.alias("char_start"), e.alias("char_end"), *more)
 
         return let(own, placed)
 
     # explode alone would have its input made once more, to filter out notes without windows
     made = F.posexplode_outer(F.transform(window_starts(F.size("toks"), size, overlap), window)).alias("w", "x")
-    rows = rows.select("id", *keep, made).filter("w IS NOT NULL").select("id", "w", *keep, "x.*").withColumn("bare", F.col("prefix"))
+    rows = rows.select("id", made).filter("w IS NOT NULL").select("id", "w", "x.*").withColumn("bare", F.col("prefix"))
     if not header:
         return rows
     words = lambda c: F.transform(c, lambda t: t["tok"])
@@ -183,60 +182,47 @@ def uncovered(entities: DataFrame, windows: DataFrame, bin: int = 1024) -> DataF
     return entities.join(held.select("id", "start", "end").distinct(), ["id", "start", "end"], "left_anti")
 
 
-def training_rows(records: DataFrame, seed: int = 7, o_keep: float = 0.35, header_dropout: float = 0.35, empty_keep: float = 0.5, size: int = SIZE, overlap: int = OVERLAP, context: int = CONTEXT, keep: tuple[str, ...] = ()) -> DataFrame:
+def training_rows(records: DataFrame, seed: int = 7, o_keep: float = 0.35, header_dropout: float = 0.35, empty_keep: float = 0.5, size: int = SIZE, overlap: int = OVERLAP, context: int = CONTEXT, keep: tuple[str, ...] = (), words: bool = True) -> DataFrame:
     """D9 rows of records (id, text, entities, genre, source, record_kind), with the columns ``keep`` of their record.
 
     BIO tags and span list per window; loss 0 on the prefix, 1 on entity tokens and
     on a share ``o_keep`` of the others; headers go at ``header_dropout`` and windows
     without entity at 1 - ``empty_keep``. Draws are hashes of seed, record, window and place.
+    Without ``words`` the columns tokens and char_offsets are not made.
     """
+    if not 0 <= overlap < size:
+        raise ValueError("0 <= overlap < size")
     kept = ("genre", "source", "record_kind", *[c for c in keep if c not in ("genre", "source", "record_kind")])
-    rows = _window_rows(records, size, overlap, context, True, kept, "entities")
-    # the header of the same window is left out at random
-    drop = hash_unit(F.lit(seed), F.col("id"), F.col("w"), F.lit("header")) < header_dropout
-    rows = rows.withColumn("prefix", F.when(drop, F.col("bare")).otherwise(F.col("prefix"))).drop("bare")
-    # only entities within the window are looked up among its tokens
-    near = F.col("entities")
-    own = F.filter(
-        F.transform(near, lambda e: F.struct(word_span(F.col("content"), e["start"], e["end"]).alias("ws"), e.alias("e"))),
-        lambda x: x["ws"].isNotNull(),
-    )
-    rows = rows.withColumn("own", own).withColumn("n_prefix", F.size("prefix"))
-    rows = rows.filter((F.size("own") > 0) | (hash_unit(F.lit(seed), F.col("id"), F.col("w"), F.lit("empty")) < empty_keep))
-    n = F.size("content")
-    tag = lambda i: F.coalesce(
-        F.get(
-            F.transform(
-                F.filter("own", lambda x: (x["ws"]["first"] <= i) & (i <= x["ws"]["last"])),
-                lambda x: F.concat(F.when(x["ws"]["first"] == i, F.lit("B-")).otherwise(F.lit("I-")), x["e"]["type"]),
-            ),
-            F.lit(0),
-        ),
-        F.lit("O"),
-    )
-    tags = F.transform(F.sequence(F.lit(0), n - 1), tag)
-    loss = lambda t, h: F.when((t != "O") | (h / F.lit(4294967295.0) < o_keep), 1).otherwise(0)
+    places = F.transform("entities", lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["type"].isNotNull().alias("named")))
+    made = training_windows(F.coalesce("text", F.lit("")), places, F.col("id").cast("string"), seed, o_keep, header_dropout, empty_keep, size, overlap, context, words)
+    rows = records.select("id", *kept, "entities", made.alias("made"))
+    both = ["tokens", "char_offsets"] if words else []
+
+    def window(x: Column) -> Column:
+        """With its entities, which the record's row holds: they are not repeated for each window."""
+        own = F.transform(x["own"], lambda o: F.struct(o["first"].alias("first"), o["last"].alias("last"), F.get("entities", o["k"]).alias("e")))
+        return F.struct(own.alias("own"), *[x[c].alias(c) for c in ("w", "n_prefix", "tags", "mask", *both)])
+
+    # explode alone would have its input made once more, to filter out notes without windows
+    rows = rows.select("id", *kept, F.explode_outer(F.transform("made", window)).alias("x")).filter("x IS NOT NULL").select("id", *kept, "x.*")
+    tags = F.transform("tags", lambda c: F.when(c == 0, "O").otherwise(F.concat(F.when(c % 2 == 1, "B-").otherwise("I-"), F.get("own", F.shiftright(c - 1, 1))["e"]["type"])))
     flags = lambda e: F.array(*[F.array_contains(e["assertions"], a).cast("int") for a in vocab.ASSERTIONS])
-    # drawn before the id is replaced, which a lambda in the same projection would see
-    rows = rows.withColumn("tags", tags).withColumn("draws", hash_ints(F.concat_ws(":", F.lit(str(seed)), "id", F.col("w").cast("string")), n)).withColumn("mask", F.zip_with("tags", "draws", loss))
     spans = F.transform(
         "own",
         lambda x: F.struct(
-            (x["ws"]["first"] + F.col("n_prefix")).alias("start"),
-            (x["ws"]["last"] + F.col("n_prefix")).alias("end"),
+            (x["first"] + F.col("n_prefix")).alias("start"),
+            (x["last"] + F.col("n_prefix")).alias("end"),
             vocab.type_id(x["e"]["type"]).alias("type_id"),
             flags(x["e"]).alias("assertions"),
             (F.coalesce(x["e"]["supervised"], F.lit(True)) & x["e"]["type"].isin(list(vocab.ASSERTION_TYPES))).cast("int").alias("assertion_mask"),
         ),
     )
-    both = F.concat("prefix", "content")
     return rows.select(
         F.concat_ws("#", "id", "w").alias("id"),
         F.col("id").alias("record_id"),
-        F.transform(both, lambda t: t["tok"]).alias("tokens"),
-        F.transform(both, lambda t: F.array(t["s"], t["e"])).alias("char_offsets"),
+        *both,
         "n_prefix",
-        F.concat(F.array_repeat(F.lit("O"), F.col("n_prefix")), F.col("tags")).alias("ner_tags"),
+        F.concat(F.array_repeat(F.lit("O"), F.col("n_prefix")), tags).alias("ner_tags"),
         F.concat(F.array_repeat(F.lit(0), F.col("n_prefix")), F.col("mask")).alias("token_loss_mask"),
         spans.alias("spans"),
         *kept,

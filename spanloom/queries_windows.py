@@ -114,11 +114,13 @@ FROM kept_w k JOIN sums s USING (doc_id, w) JOIN free f USING (doc_id, w)"""
 )
 def bio_rows(spark, sf_dir):
     """Training rows of windows, with their tag and loss counts and drawn negative spans."""
-    rows = windows.training_rows(records(spark, sf_dir))
+    rows = windows.training_rows(records(spark, sf_dir), words=False)
     places = F.transform("spans", lambda s: F.struct(s["start"].alias("first"), s["end"].alias("last")))
-    slim = rows.select("id", F.size("tokens").alias("n_tokens"), "n_prefix", F.size(F.filter("ner_tags", lambda t: t != "O")).alias("tagged"), F.aggregate("token_loss_mask", F.lit(0), lambda s, x: s + x).alias("counted"), F.size("spans").alias("n_spans"), places.alias("places"))
+    others = lambda c, x: F.size(F.array_remove(c, x))
+    slim = rows.select("id", F.size("token_loss_mask").alias("n_tokens"), "n_prefix", others("ner_tags", "O").alias("tagged"), others("token_loss_mask", 0).alias("counted"), places.alias("places"))
     slim = files.written(slim)  # Spark fails to take the draws out of a plan that holds the windows' expressions in their arguments
-    return slim.withColumn("negatives", F.size(negative_spans(F.col("n_tokens"), F.col("places"), F.col("id")))).drop("places")
+    slim = slim.withColumn("n_spans", F.size("places")).withColumn("negatives", F.size(negative_spans(F.col("n_tokens"), F.col("places"), F.col("id"))))
+    return slim.select("id", "n_tokens", "n_prefix", "tagged", "counted", "n_spans", "negatives")
 
 
 _PART = f"CASE WHEN {hashed('doc_id::VARCHAR')} / 4294967295.0 < 0.05 THEN 'test' WHEN {hashed('doc_id::VARCHAR')} / 4294967295.0 < 0.1 THEN 'val' ELSE 'train' END"
