@@ -327,13 +327,17 @@ def app_export(spark, sf_dir):
     """Notes and sorted labels under padded numbers, with metadata and digests."""
     at = files.scratch(spark)
     sinks.export_app(records(spark, sf_dir), f"{at}/app")
-    stem = lambda df: df.withColumn("file_id", F.regexp_extract(F.input_file_name(), r"([0-9]+)\.[a-z]+$", 1))
-    notes = stem(spark.read.text(f"{at}/app/notes", wholetext=True)).select("file_id", F.sha2("value", 256).alias("sha"))
-    found = F.from_json("value", f"array<{readers.RAW_ENTITY}>")
+    return exported_app(spark, f"{at}/app")
+
+
+def exported_app(spark, at: str) -> DataFrame:
+    """What an app export holds, by the names in its metadata: every row has its two files. A text that was null has no digest."""
+    facts = spark.read.schema("file_id string, id string, note_sha256 string").json(f"{at}/metadata")
+    named = facts.withColumns({"note": F.concat("file_id", F.lit(".txt")), "label": F.concat("file_id", F.lit(".json"))})
+    notes = files.read_named(named, f"{at}/notes", "note", "text").select("file_id", "id", "label", F.when(F.col("note_sha256").isNotNull(), F.sha2("text", 256)).alias("sha"))
+    found = files.read_named(notes, f"{at}/labels", "label", "labels").withColumn("l", F.from_json("labels", f"array<{readers.RAW_ENTITY}>"))
     places = F.transform("l", lambda e: F.struct(e["position"][0], e["position"][1], e["type"]))
-    labels = stem(spark.read.text(f"{at}/app/labels", wholetext=True)).select("file_id", found.alias("l")).select("file_id", F.size("l").alias("labels"), (F.array_sort(places) == places).alias("in_order"))
-    facts = spark.read.json(f"{at}/app/metadata").select("file_id", "id")
-    return facts.join(notes, "file_id").join(labels, "file_id")
+    return found.select("file_id", "id", "sha", F.size("l").alias("labels"), (F.array_sort(places) == places).alias("in_order"))
 
 
 # --- jobs

@@ -12,8 +12,11 @@ from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
+#: Characters of files that one batch holds.
+MOST_READ = 4 << 20
 #: The scratch folders of this process.
 _FOLDERS: list[str] = []
 
@@ -58,6 +61,29 @@ def write_named(rows: DataFrame, path: str, overwrite: bool = True) -> int:
     return rows.select("name", "value").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def read_named(rows: DataFrame, path: str, name: str, value: str) -> DataFrame:
+    """Append as ``value`` the content of the file below ``path`` that each row names; a missing file is an error.
+
+    Nothing is listed, and files of no length count: Spark's readers skip them.
+    """
+    schema = T.StructType([*rows.schema, T.StructField(value, T.StringType())])
+
+    def read(batches):
+        store, inner = file_system(path.rstrip("/"))
+        for batch in batches:
+            first, size, values = 0, 0, []
+            for i, own in enumerate(batch.column(name).to_pylist(), 1):
+                with store.open_input_stream(f"{inner}/{own}", compression=None) as f:
+                    values.append(f.read().decode())
+                size += len(values[-1])
+                if i == batch.num_rows or size > MOST_READ:
+                    part = batch.slice(first, i - first)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.string())], names=[f.name for f in schema])
+                    first, size, values = i, 0, []
+
+    return rows.mapInArrow(read, schema)
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder that all executors share: below spark.checkpoint.dir, or, on one machine without it, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
